@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from nodalis.llm.pieces import op3_sentencepiece
 from nodalis.llm.ppm import op7_language
+from nodalis.llm.simhash import op10_simhash
 
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op7_language": op7_language,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {}
