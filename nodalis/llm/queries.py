@@ -5,9 +5,11 @@ from __future__ import annotations
 from nodalis.llm.pieces import op3_sentencepiece
 from nodalis.llm.ppm import op7_language
 from nodalis.llm.simhash import op10_simhash
+from nodalis.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_toxicity": op4_toxicity,
     "op7_language": op7_language,
     "op10_simhash": op10_simhash,
 }
