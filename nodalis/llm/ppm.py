@@ -62,11 +62,12 @@ class ByteTrees:
         self.langs = sorted(grams)
         self.order = order
         size, n_lang = order + 1, len(self.langs)
-        used = sorted({g for lang in self.langs for g in grams[lang][0]})
-        self.symbol = np.zeros(256, np.int32)  # 0: a byte no language saw
-        self.symbol[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
         codes = [np.array(sorted({g for lang in self.langs for g in grams[lang][k]}), np.uint32) for k in range(size)]
+        for k in range(size - 1, 0, -1):  # every context is a node, that of a text's begin too
+            codes[k - 1] = np.union1d(codes[k - 1], codes[k] >> np.uint32(8))
+        self.symbol = np.zeros(256, np.int32)  # 0: a byte no language saw
+        self.symbol[codes[0]] = np.arange(1, len(codes[0]) + 1)
+        self.width = len(codes[0]) + 1
         counts = []
         for k in range(size):
             m = np.zeros((len(codes[k]) + 1, n_lang))
