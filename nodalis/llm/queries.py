@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from nodalis.llm.pieces import op3_sentencepiece
+from nodalis.llm.pii import op6_pii
 from nodalis.llm.ppm import op7_language
 from nodalis.llm.simhash import op10_simhash
 from nodalis.llm.toxicity import op4_toxicity
@@ -10,6 +11,7 @@ from nodalis.llm.toxicity import op4_toxicity
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
+    "op6_pii": op6_pii,
     "op7_language": op7_language,
     "op10_simhash": op10_simhash,
 }
