@@ -49,12 +49,16 @@ def held_out(doc_id: str = "doc_id"):
 def bounded_sample(df: DataFrame, key: str, by: str | None, rows: int) -> DataFrame:
     """At most ``rows`` rows of ``df`` for each value of ``by`` (all together if
     None), those with the smallest hash of ``key``: a deterministic sample whose
-    size does not grow with the input.  Only (key, by) are ranked; the limit is
-    applied before the shuffle by Spark's window group limit."""
+    size does not grow with the input.  Counts by group set a bar that about
+    twice as many rows pass, so the exact cut sorts a bounded number of rows
+    however many partitions there are.  Only (key, by) are ranked."""
     from pyspark.sql import Window
 
-    slim = df.select(key, *([by] if by else [])).withColumn("_h", F.xxhash64(key))
     group = F.col(by) if by else F.lit(0)
-    w = Window.partitionBy(group).orderBy("_h", key)
-    keep = slim.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).select(key).distinct()
-    return df.join(F.broadcast(keep), key, "left_semi")
+    slim = df.select(F.col(key).alias("_key"), group.alias("_g"), F.xxhash64(key).alias("_h"))
+    size = slim.groupBy("_g").agg(F.count("*").alias("_n"))
+    bar = F.lit(2.0 * rows + 64) / F.col("_n")
+    near = slim.join(size, "_g").where(F.col("_n").isNotNull() & ((F.pmod("_h", F.lit(1 << 30)) / float(1 << 30)) < bar))
+    w = Window.partitionBy("_g").orderBy(F.pmod("_h", F.lit(1 << 30)), "_key")
+    keep = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).select("_key").distinct()
+    return df.join(F.broadcast(keep), df[key] == keep["_key"], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from nodalis.llm.decontaminate import op8_decontamination
+from nodalis.llm.permutation import op1_permutation
 from nodalis.llm.pieces import op3_sentencepiece
 from nodalis.llm.pii import op6_pii
 from nodalis.llm.ppm import op7_language
@@ -9,10 +11,12 @@ from nodalis.llm.simhash import op10_simhash
 from nodalis.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_permutation": op1_permutation,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op6_pii": op6_pii,
     "op7_language": op7_language,
+    "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
 
