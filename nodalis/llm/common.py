@@ -17,8 +17,18 @@ from pyspark.sql import functions as F
 HOLD_OUT_MOD = 5
 
 
+def ready(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed but
+    lies in a folder that they see."""
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, whole."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -247,8 +247,9 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_decode(df: DataFrame, model_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids binary, decoded string) for each row: whole texts, no shuffle.
+def encode_decode(df: DataFrame, model_path: str | None = None, key: str = "doc_id", text: str = "text", as_array: bool = False) -> DataFrame:
+    """(key, ids, decoded string) for each row: whole texts, no shuffle.  Ids are
+    little-endian unsigned 32-bit integers, or an array<int>.
     The model (half a MB) is read on the driver and broadcast."""
     spark = df.sparkSession
     with open(model_path or default_model(), "rb") as f:
@@ -261,13 +262,17 @@ def encode_decode(df: DataFrame, model_path: str | None = None, key: str = "doc_
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+                col = pa.array(ids, pa.binary())
+                if as_array:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                    col = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())],
+                    [part.column(0), col, pa.array([codec.decode(x) for x in ids], pa.string())],
                     names=[key, "ids", "decoded"],
                 )
 
     kind = src.schema[key].dataType.simpleString()
-    return src.mapInArrow(run, f"`{key}` {kind}, ids binary, decoded string")
+    return src.mapInArrow(run, f"`{key}` {kind}, ids {'array<int>' if as_array else 'binary'}, decoded string")
 
 
 def ids_digest(ids: Column) -> Column:

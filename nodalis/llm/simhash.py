@@ -125,7 +125,7 @@ def exact_masks(radius: int, keep: int = 2) -> list[int]:
     return [sum(block[i] for i in c) for c in combinations(range(n), keep)]
 
 
-def sampled_masks(rows: int, differ: float, miss: float, per_group: int = 1024) -> list[int]:
+def sampled_masks(rows: int, differ: float, miss: float, per_group: int = 4096) -> list[int]:
     """Random masks with log2(rows / per_group) bits, so groups of unrelated
     fingerprints keep about ``per_group`` rows at any size, and as many that a
     pair whose bits differ with chance ``differ`` shares none with chance
@@ -340,6 +340,40 @@ def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFra
     return fps.join(reps, "fp").select(key, "fp", "component")
 
 
+#: The wide search for near copies: shingle size, least similarity, bits that may differ, and
+#: the chance that a pair just at that similarity shares no mask.
+NEAR_SHINGLE = 5
+NEAR_LEAST = 0.8
+NEAR_RADIUS = 18
+NEAR_MISS = 0.05
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, least: float = NEAR_LEAST, radius: int = NEAR_RADIUS, miss: float = NEAR_MISS) -> DataFrame:
+    """(key, component) for rows of ``df`` whose component has another row's key
+    as its smallest: copies and near copies of ``least`` similarity (estimated
+    from sketches of BINS bins) or more.
+
+    At similarity J the words' cosine is 2J / (1 + J), and a bit differs with
+    chance acos(cosine) / pi; masks are drawn for that chance, so unrelated
+    fingerprints meet in groups of bounded size however many there are."""
+    fps = cut(fingerprints(df, k, key, text, with_sketch=True))
+    codes = cut(fps.groupBy("fp", "sketch").agg(F.min(key).alias("id"), F.count("*").alias("n")))
+    differ = math.acos(2 * least / (1 + least)) / math.pi
+    masks = sampled_masks(codes.count(), differ, miss)
+    found = components(link(codes.where("id is not null").select("id", "fp", "sketch"), masks, radius, least))
+    # of repeated keys and texts one row stays, but keys are what is dropped: a
+    # key that stands for its own group is never listed
+    reps = codes.join(found, codes.id == found.node, "left").select("fp", "sketch", F.coalesce("component", "id").alias("component"), F.coalesce(F.col("component") != F.col("id"), F.lit(False)).alias("moved"), "n").where("n > 1 or moved")
+    return fps.join(reps, ["fp", "sketch"]).where(F.col(key) != F.col("component")).select(key, "component")
+
+
+def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``df`` with one row of each group of copies and near copies, that of the
+    smallest key; rows without a key stay."""
+    gone = near_copies(df, key, text, **how).select(F.col(key).alias("_gone")).distinct()
+    return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(fingerprints(table(spark, sf_dir, "documents"), k=3), radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

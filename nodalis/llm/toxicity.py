@@ -217,6 +217,16 @@ def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> Da
     return evidence(docs, raw, key, text).withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") * slope + offset))))
 
 
+def accept(docs: DataFrame, model, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, all columns as they
+    are; no shuffle."""
+    if model is None:
+        return docs
+    raw, slope, offset = model
+    out = evidence(docs, raw, key, text, *[c for c in docs.columns if c != key])
+    return out.where(1 / (1 + F.exp(-(F.col("evidence") * slope + offset))) < threshold).select(*docs.columns)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
