@@ -136,8 +136,12 @@ def sampled_masks(rows: int, differ: float, miss: float, per_group: int = 4096)
     n = 1
     while sum(c * (1 - p) ** n for c, p in zip(chance, meet, strict=True)) > miss:
         n += 1
-    r = random.Random(20240101)
-    return [sum(1 << b for b in r.sample(range(64), bits)) for _ in range(n)]
+    # whole random partitions of the 64 bits: within one, differences can't hit all masks by chance alike
+    r, out = random.Random(20240101), []
+    while len(out) < n:
+        order = r.sample(range(64), 64)
+        out += [sum(1 << b for b in order[i : i + bits]) for i in range(0, 64 - bits + 1, bits)]
+    return out
 
 
 # --- the index --------------------------------------------------------------
@@ -208,13 +212,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & some).sum(1) / np.maximum(1, some.sum(1))
 
 
-def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0) -> list[tuple[int, int]]:
-    """Edges (numbers of codes) that join all codes linked within the radius
-    (and, with sketches, of an estimated similarity of ``least`` or more)."""
+def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0, sure: float = 0.0) -> list[tuple[int, int, float]]:
+    """Edges (numbers of codes, similarity) that join all codes linked within the
+    radius.  With sketches, an edge needs an estimated similarity of ``least``;
+    those of ``sure`` or more join first, and what they leave apart is joined by
+    a forest of the most similar pairs.  In such a forest the weakest edge
+    between two codes is as strong as on any path, so dropping edges later that
+    an exact check refuses leaves the right components."""
     index = GrayIndex(codes)
     n = len(index)
     root = np.arange(n)  # by place in Gray order
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, float]] = []
+    rest: list[np.ndarray] = []
+    kept = 0
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -222,17 +232,20 @@ def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, l
             x = root[x]
         return x
 
+    def labels() -> np.ndarray:
+        label = root
+        while True:
+            up = label[label]
+            if (up == label).all():
+                return label
+            label = up
+
     step = 512 if n <= 4096 else 128
     for at in range(0, n, step):
         block = np.arange(at, min(n, at + step))
         skip = None
         if n > 64:
-            label = root
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
+            label = labels()
             low, high, whole = label, label, [label]
             for _ in index.mask[1:]:
                 cut_at = np.arange(0, len(low), FAN)
@@ -248,20 +261,63 @@ def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, l
         q = block[q]
         ok = p > q
         q, p = q[ok], p[ok]
+        sim = np.ones(len(q))
         if sketches is not None and len(q):
-            good = np.zeros(len(q), bool)
-            for i in range(0, len(q), 100_000):
-                a, b = index.order[q[i : i + 100_000]], index.order[p[i : i + 100_000]]
-                good[i : i + 100_000] = alike(sketches[a], sketches[b]) >= least
-            q, p = q[good], p[good]
-        for x, y in zip(q.tolist(), p.tolist(), strict=True):
+            for i in range(0, len(q), 50_000):
+                sim[i : i + 50_000] = alike(sketches[index.order[q[i : i + 50_000]]], sketches[index.order[p[i : i + 50_000]]])
+            maybe = (sim >= least) & (sim < sure)
+            rest.append(np.stack([q[maybe], p[maybe], sim[maybe]]))
+            kept += int(maybe.sum())
+            ok = sim >= sure
+            q, p, sim = q[ok], p[ok], sim[ok]
+        for x, y, s in zip(q.tolist(), p.tolist(), sim.tolist(), strict=True):
             a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((int(index.order[x]), int(index.order[y])))
+                out.append((int(index.order[x]), int(index.order[y]), s))
+        if kept > 2_000_000:
+            rest = [np.concatenate(rest, axis=1)]
+            rest = [rest[0][:, most_similar(labels(), rest[0][0].astype(np.int64), rest[0][1].astype(np.int64), rest[0][2])]]
+            kept = rest[0].shape[1]
+    if kept:
+        e = np.concatenate(rest, axis=1)
+        e = e[:, most_similar(labels(), e[0].astype(np.int64), e[1].astype(np.int64), e[2])]
+        out += [(int(index.order[int(x)]), int(index.order[int(y)]), s) for x, y, s in e.T.tolist()]
     return out
 
 
+def most_similar(label: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a maximum spanning forest over labelled
+    components (Boruvka's rounds)."""
+    order = np.argsort(w, kind="stable")
+    u, v = u[order], v[order]
+    comp, chosen = label.copy(), []
+    rank = np.arange(len(order))
+    while True:
+        a, b = comp[u], comp[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v, a, b, rank = u[apart], v[apart], a[apart], b[apart], rank[apart]
+        best = np.full(len(comp), -1)
+        np.maximum.at(best, a, np.arange(len(a)))
+        np.maximum.at(best, b, np.arange(len(a)))
+        take = np.unique(best[best >= 0])
+        chosen.append(rank[take])
+        x, y = a[take], b[take]
+        while True:  # the least label of what the taken edges join
+            low = np.arange(len(comp))
+            np.minimum.at(low, x, y)
+            np.minimum.at(low, y, x)
+            while (low[low] != low).any():
+                low = low[low]
+            comp = low[comp]
+            x, y = low[x], low[y]
+            if (x == y).all():
+                break
+    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+
+
 # --- distributed linking ----------------------------------------------------
 
 
@@ -269,9 +325,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link(codes: DataFrame, masks: list[int], radius: int, least: float | None = None) -> DataFrame:
-    """Edges (u, v) between rows of ``codes`` (id long, fp long[, sketch]),
-    whose pairs (fp, sketch) are distinct."""
+def link(codes: DataFrame, masks: list[int], radius: int, least: float | None = None, sure: float = 0.0) -> DataFrame:
+    """Edges (u, v, w) between rows of ``codes`` (id long, fp long[, sketch]),
+    whose pairs (fp, sketch) are distinct; w is the estimated similarity."""
     spark = codes.sparkSession
     wide = least is not None
     keyed = codes.select(
@@ -289,8 +345,8 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
 
     def group(ids, fps, sks):
         # equal fingerprints of different sketches (wide only) stay apart in the index by place
-        for a, b in forest(fps, radius, sks, least or 0.0):
-            yield int(ids[a]), int(ids[b])
+        for a, b, w in forest(fps, radius, sks, least or 0.0, sure):
+            yield int(ids[a]), int(ids[b]), w
 
     def run(batches):
         left: pa.Table | None = None
@@ -304,15 +360,18 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
             two = starts[ends - starts == 2]
             near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius
             two = two[near]
+            ws = np.ones(len(two))
             if wide and len(two):
-                two = two[alike(sks[two], sks[two + 1]) >= least]
-            us, vs = ids[two].tolist(), ids[two + 1].tolist()
+                ws = alike(sks[two], sks[two + 1])
+                two, ws = two[ws >= least], ws[ws >= least]
+            us, vs, ws = ids[two].tolist(), ids[two + 1].tolist(), ws.tolist()
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > 2:
-                    for a, b in group(ids[s:e], fps[s:e], None if sks is None else sks[s:e]):
+                    for a, b, w in group(ids[s:e], fps[s:e], None if sks is None else sks[s:e]):
                         us.append(a)
                         vs.append(b)
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                        ws.append(w)
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ws, pa.float64())], names=["u", "v", "w"])
 
         for b in batches:
             t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
@@ -326,7 +385,7 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
         if left is not None and left.num_rows:
             yield work(left)
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(run, "u long, v long, w double")
 
 
 def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFrame:
@@ -345,13 +404,15 @@ def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFra
 NEAR_SHINGLE = 5
 NEAR_LEAST = 0.8
 NEAR_RADIUS = 18
-NEAR_MISS = 0.05
+NEAR_MISS = 0.02
+#: Estimates under least - NEAR_DOUBT are refused and those from least + NEAR_DOUBT on accepted
+#: (about three standard errors of a sketch); pairs between are checked exactly.
+NEAR_DOUBT = 0.1
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = NEAR_SHINGLE, least: float = NEAR_LEAST, radius: int = NEAR_RADIUS, miss: float = NEAR_MISS) -> DataFrame:
     """(key, component) for rows of ``df`` whose component has another row's key
-    as its smallest: copies and near copies of ``least`` similarity (estimated
-    from sketches of BINS bins) or more.
+    as its smallest: copies and near copies of ``least`` similarity or more.
 
     At similarity J the words' cosine is 2J / (1 + J), and a bit differs with
     chance acos(cosine) / pi; masks are drawn for that chance, so unrelated
@@ -360,13 +421,36 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     codes = cut(fps.groupBy("fp", "sketch").agg(F.min(key).alias("id"), F.count("*").alias("n")))
     differ = math.acos(2 * least / (1 + least)) / math.pi
     masks = sampled_masks(codes.count(), differ, miss)
-    found = components(link(codes.where("id is not null").select("id", "fp", "sketch"), masks, radius, least))
+    edges = cut(link(codes.where("id is not null").select("id", "fp", "sketch"), masks, radius, least - NEAR_DOUBT, least + NEAR_DOUBT).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w")))
+    doubt = edges.where(F.col("w") < least + NEAR_DOUBT).select("u", "v")
+    good = edges.where(F.col("w") >= least + NEAR_DOUBT).select("u", "v").unionByName(checked(doubt, df, key, text, k, least))
+    found = components(good)
     # of repeated keys and texts one row stays, but keys are what is dropped: a
     # key that stands for its own group is never listed
     reps = codes.join(found, codes.id == found.node, "left").select("fp", "sketch", F.coalesce("component", "id").alias("component"), F.coalesce(F.col("component") != F.col("id"), F.lit(False)).alias("moved"), "n").where("n > 1 or moved")
     return fps.join(reps, ["fp", "sketch"]).where(F.col(key) != F.col("component")).select(key, "component")
 
 
+def checked(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int, least: float) -> DataFrame:
+    """The pairs (u, v) of keys of ``df`` whose sets of shingles have a Jaccard
+    similarity of ``least`` or more; reads only the texts of the pairs."""
+    ends = pairs.select(F.col("u").alias("i")).unionByName(pairs.select(F.col("v").alias("i"))).distinct()
+    src = df.select(F.col(key).cast("long").alias("i"), F.col(text).cast("string").alias("t")).join(ends, "i", "left_semi")
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = [np.unique(shingle_hashes(t, k)).view(np.int64) for t in b.column(1).to_pylist()]
+                cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(cuts, np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["i", "s"])
+
+    sets = src.mapInArrow(run, "i long, s array<long>").groupBy("i").agg(F.min("s").alias("s"))
+    both = pairs.join(sets.select(F.col("i").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("i").alias("v"), F.col("s").alias("b")), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.where(same >= least * (F.size("a") + F.size("b") - same)).select("u", "v")
+
+
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``df`` with one row of each group of copies and near copies, that of the
     smallest key; rows without a key stay."""

@@ -70,7 +70,7 @@ def test_forest_joins_the_same_components_as_brute_force():
             x = root[x]
         return x
 
-    for a, b in edges:
+    for a, b, _ in edges:
         assert (int(codes[a]) ^ int(codes[b])).bit_count() <= 3
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
@@ -125,3 +125,24 @@ def test_sampled_masks_keep_their_promise():
     masks = S.sampled_masks(100_000, 0.15, 0.02)
     hit = sum(any(not d & m for m in masks) for d in (sum((r.random() < 0.15) << b for b in range(64)) for _ in range(2000)))
     assert hit > 0.93 * 2000
+
+
+def test_strongest_forest_equals_kruskal():
+    r = np.random.default_rng(6)
+    n, m = 60, 400
+    u, v, w = r.integers(0, n, m), r.integers(0, n, m), r.random(m)
+    got = S.most_similar(np.arange(n), u, v, w)
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = []
+    for i in np.argsort(-w):
+        a, b = find(u[i]), find(v[i])
+        if a != b:
+            root[a] = b
+            want.append(i)
+    assert sorted(got.tolist()) == sorted(want)
