@@ -22,6 +22,7 @@ as they need; repeated rows each their own; an empty table no sequence.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 import uuid
@@ -34,14 +35,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodalis.llm.common import cut, shared_dir, table
-from nodalis.llm.pieces import MARK, default_model
 
 LENGTH = 256
 #: Records of a shard.
 SHARD = 65_536
 ROUNDS = 6
 KEY = 20_240_229
-CACHE = 400_000
+
+
+def default_ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class Feistel:
@@ -78,33 +83,20 @@ class Feistel:
 
 
 class Encoder:
-    """Ids (uint16) of texts: the library's on each unit between spaces, kept in
-    a bounded cache."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        mark = MARK
-        sp = sentencepiece.SentencePieceProcessor(model_proto=path) if isinstance(path, bytes) else sentencepiece.SentencePieceProcessor(model_file=path)
-        self.eos = np.array([sp.eos_id()], "<u2").tobytes()
-
-        class Units(dict):
-            def __missing__(self, unit: str) -> bytes:
-                # the library puts a mark before what it encodes, but not before nothing
-                out = np.array([sp.piece_to_id(mark)] if unit == mark else sp.encode(unit[1:]), "<u2").tobytes()
-                if len(unit) <= 64:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[unit] = out
-                return out
-
-        if sp.get_piece_size() > 65_536:
+    """Ids (uint16) of texts with an end id, by byte-level BPE ranks."""
+
+    def __init__(self, ranks: bytes):
+        import public_tokenizers
+        import tiktoken
+
+        own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        if len(own) >= 65_536:
             raise ValueError("ids need more than 16 bits")
-        self.units, self.split = Units(), re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
+        self.eos = np.array([len(own)], "<u2").tobytes()  # the first free id
 
     def __call__(self, text: str | None) -> bytes:
-        # every unit begins with a mark: the first has the dummy prefix
-        return b"".join(map(self.units.__getitem__, self.split(MARK + text.replace(" ", MARK)))) + self.eos if text else self.eos
+        return self.bpe.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u2").tobytes() + self.eos if text else self.eos
 
 
 _encoders: dict[int, Encoder] = {}
@@ -129,11 +121,11 @@ def sequences(n_bytes: int, length: int = LENGTH) -> int:
     return -(-n_bytes // (2 * length))
 
 
-def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int = SHARD, seed: int = KEY, stable: bool = False, model_path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int = SHARD, seed: int = KEY, stable: bool = False, ranks_path: str | None = None) -> DataFrame:
     """Writes ``df``'s sequences under ``folder`` when the returned rows (slot,
     shard, record, key, part, n_tokens, digest) are computed."""
     spark = df.sparkSession
-    with open(model_path or default_model(), "rb") as f:
+    with open(ranks_path or default_ranks(), "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     src = df.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
     src = src if stable else cut(src)
