@@ -25,7 +25,9 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +97,17 @@ class Encoder:
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
         self.eos = np.array([len(own)], "<u2").tobytes()  # the first free id
 
+    def count(self, text: str | None) -> int:
+        """Ids of a text, the end id too."""
+        return (len(self.bpe.encode_ordinary(text)) if text else 0) + 1
+
     def __call__(self, text: str | None) -> bytes:
-        return self.bpe.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u2").tobytes() + self.eos if text else self.eos
+        if not text:
+            return self.eos
+        ids = array("H", self.bpe.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes() + self.eos
 
 
 _encoders: dict[int, Encoder] = {}
@@ -133,7 +144,7 @@ def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     def count(batches):
         enc, n = _encoder(model.value), 0
         for b in batches:
-            n += sum(sequences(len(enc(t)), length) for t in b.column(1).to_pylist())
+            n += sum(sequences(2 * enc.count(t), length) for t in b.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["p", "n"])
 
     counts = sorted((r.p, r.n) for r in src.mapInArrow(count, "p long, n long").collect())  # two numbers a partition
