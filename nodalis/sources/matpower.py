@@ -22,7 +22,7 @@ def parse(text: DataFrame, column: str = "value") -> Case:
     def block(name: str) -> DataFrame:
         body = F.regexp_replace(F.regexp_extract(column, rf"(?s)mpc\.{name}\s*=\s*\[(.*?)\]", 1), r"%[^\n]*", "")
         rows = text.select(F.posexplode(F.split(body, ";")).alias("pos", "row")).where(F.trim(F.regexp_replace("row", r"\s+", " ")) != "")
-        return rows.select("pos", F.transform(F.split(F.trim(F.regexp_replace("row", r"[\s,]+", " ")), " "), lambda x: x.cast("double")).alias("v"))
+        return rows.select("pos", F.transform(F.split(F.trim(F.regexp_replace("row", r"[\s,]+", " ")), " "), lambda x: x.try_cast("double")).alias("v"))
 
     return Case(base, block("bus"), block("branch"))
 

@@ -35,7 +35,7 @@ def window(speeds: DataFrame, steps: int, offset: int = 0) -> DataFrame:
 
 def sensors(spark: SparkSession, path: str) -> DataFrame:
     """(id, node) from a file of comma-separated ids."""
-    ids = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s*,\s*")).alias("node", "id"))
+    ids = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s*,\s*")).alias("node", "id"))
     return ids.where("id <> ''").select("id", "node")
 
 
