@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodalis.llm import decontaminate, pieces, pii, simhash, toxicity
-from nodalis.llm.common import held_out, shared_dir, table
+from nodalis.llm.common import held_out, ready, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays (five-word
     shingles, similarity 0.8 or more)."""
+    ready(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -42,6 +43,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with begin and end, and the text they decode to."""
+    ready(spark)
     out = pieces.encode_decode(docs, as_array=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
