@@ -235,8 +235,9 @@ class Hierarchical:
         self.inner, self.score, self.ratio = inner, list(score), ratio
 
     def pool(self, frames: Frames) -> tuple[Frames, DataFrame]:
-        """(coarse frames, kept nodes by step); the first step's choice holds."""
-        first = topk_pool(frames.snap.where("t = 0"), self.score, self.ratio).select("traj", "node", "new")
+        """(coarse frames, kept nodes); the choice of the sequence's first step holds."""
+        start = frames.snap.groupBy("traj").agg(F.min("t").alias("t"))
+        first = topk_pool(frames.snap.join(start, ["traj", "t"]), self.score, self.ratio).select("traj", "node", "new")
         snap = frames.snap.join(first, ["traj", "node"]).select("traj", "t", F.col("new").cast("int").alias("node"), "f")
         e = frames.edges
         for side in ("src", "dst"):

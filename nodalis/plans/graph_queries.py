@@ -453,3 +453,144 @@ SELECT 1 AS t, z.node, round(0.85 * any_value(z.x) + 0.15 * sum(s.w * s.x) / sum
 def advection_step(spark, d):
     start = tables.trade(spark, d).snap.where("t = 0").withColumn("f", F.slice("f", 1, 1))
     return _first(simulators.advection_step(start, 5, 5), "x")
+
+
+# --- models (no SQL: iterative or matrix valued; tested against dense algebra) -----------------
+
+
+def _channel(f: Frames) -> Frames:
+    return f.with_features(f.snap.withColumn("f", F.slice("f", 1, 1)))
+
+
+@query()
+def dmd_forecast(spark, d):
+    """Dynamic-mode forecasts of the last tenth of the months from the first seventy per cent."""
+    f = _channel(tables.trade(spark, d))
+    parts = f.split()
+    m = fit.DMD().fit(parts.train)
+    return m.predict(parts.test.snap, 3).select("origin", "h", "node", r6(F.col("f")[0]).alias("x"))
+
+
+@query()
+def dmd_errors(spark, d):
+    f = _channel(tables.trade(spark, d))
+    m = fit.DMD(rank=10).fit(f.split().train)
+    return metrics.evaluate(m.predict(f.snap, 6), f, (1, 3, 6))
+
+
+@query()
+def edmd_spectrum(spark, d):
+    return fit.EDMD(rank=12).fit(_channel(tables.trade(spark, d))).spectrum().to_df(spark)
+
+
+@query()
+def controlled_dmd(spark, d):
+    """Months as a seasonal control of all nations."""
+    f = _channel(tables.trade(spark, d))
+    u = f.snap.select("traj", "t").distinct().select("traj", "t", F.lit(None).cast("int").alias("node"), F.array(F.sin(F.col("t") * 0.5235987755982988), F.cos(F.col("t") * 0.5235987755982988)).alias("u"))
+    m = fit.DMDc(rank=10).fit(Frames(f.snap, f.edges, u))
+    return fit.save_matrix(spark, "control", m.control)
+
+
+@query()
+def graph_model_errors(spark, d):
+    """A model with graph observables and fixed convolution features."""
+    from nodalis.operators.model import GraphModel
+    from nodalis.operators.nets import GraphNet
+
+    f = tables.trade(spark, d)
+    return GraphModel(observables=["laplacian", "gradient"], network=GraphNet("gcn", 2, 8, 4)).fit(f.split().train).evaluate(f)
+
+
+@query()
+def ensemble_forecast(spark, d):
+    from nodalis.operators.model import Ensemble, GraphModel
+    from nodalis.operators.nets import GraphNet
+
+    f = tables.trade(spark, d)
+    e = Ensemble.of(lambda s: GraphModel(network=GraphNet("sage", 2, 8, 4, seed=s), penalty=1e-3), 3).fit(f)
+    return e.predict_interval(f.slice(f.num_timesteps - 1, f.num_timesteps), 3)
+
+
+@query()
+def pooled_forecast(spark, d):
+    from nodalis.operators.model import GraphModel, Hierarchical
+
+    f = tables.trade(spark, d)
+    return Hierarchical(GraphModel(), [1.0, 0.0], 0.4).fit(f).predict(f.slice(f.num_timesteps - 1, f.num_timesteps), 3).select("h", "node", "f")
+
+
+@query()
+def kalman_filter(spark, d):
+    from nodalis.operators.estimation import Observer
+
+    return Observer([[0.95]], 0.01, 0.1).filter(_channel(tables.trade(spark, d)))
+
+
+@query()
+def kalman_smooth(spark, d):
+    from nodalis.operators.estimation import Observer
+
+    return Observer([[0.95]], 0.01, 0.1).smooth(_channel(tables.trade(spark, d)))
+
+
+@query()
+def kalman_impute(spark, d):
+    from nodalis.operators.estimation import Observer
+
+    return Observer([[0.9]], 1.0, 0.1).impute(_channel(tables.users(spark, d)))
+
+
+@query()
+def recursive_fit(spark, d):
+    from nodalis.operators.estimation import recursive_fit as run
+
+    return run(tables.trade(spark, d), 0.99)
+
+
+@query()
+def node_spectra(spark, d):
+    from nodalis.operators.estimation import node_dmd
+
+    return node_dmd(tables.trade(spark, d))
+
+
+@query()
+def attention_encoding(spark, d):
+    from nodalis.operators.nets import GraphNet, encode
+
+    return encode(GraphNet("gat", 2, 8, 4, heads=2), tables.trade(spark, d))
+
+
+@query()
+def recurrent_forecast(spark, d):
+    from nodalis.operators.nets import DiffusionGRU, autoregress
+
+    f = tables.trade(spark, d)
+    return autoregress(DiffusionGRU(2, 8, 2), f.slice(f.num_timesteps - 1, f.num_timesteps), 3)
+
+
+@query()
+def chaotic_trajectories(spark, d):
+    """Twelve trajectories of a chaotic ring and three of a spectral equation."""
+    a = simulators.trajectories(spark, list(range(12)), 16, 20).withColumn("kind", F.lit("ring"))
+    return a.unionByName(simulators.trajectories(spark, [0, 1, 2], 32, 20, "kuramoto").withColumn("kind", F.lit("spectral")))
+
+
+@query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark, d):
+    """The streaming aggregation over everything there is."""
+    from nodalis.streaming.snapshots import tumbling
+
+    e = tables.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return tumbling(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE >= ts THEN 0 ELSE 1 END AS fresh, event_id FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, d):
+    from nodalis.streaming.snapshots import sessions
+
+    e = tables.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

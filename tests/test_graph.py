@@ -544,3 +544,20 @@ def test_simulators(spark):
     assert abs(n.mean()) < 0.1 and abs(n.std() - 1) < 0.1
     with pytest.raises(ValueError):
         simulators.advection_step(simulators.nodes(spark, 4, 1), 2, 2, decay=1.0)
+
+
+def test_losses(spark):
+    from nodalis.operators import losses
+
+    f = decay(spark, 8)
+    m = model.GraphModel().fit(f)
+    t = losses.training_loss(m, f, training.LossWeights(1, 1, 1, 1, 1, 0, 1, 1, 1), 3, (0, 2), lambda x, p: V.sub(p, V.scale(x, 0.9)))
+    assert all(t[k] < 1e-6 for k in ("reconstruction", "forward", "backward", "rollout", "worst_case", "pde")) and t["eigenvalue"] == 0
+    assert t["total"] == pytest.approx(sum(v for k, v in t.items() if k != "total"))
+    lie = losses.lie_consistency(lambda x: V.polynomial(x, 2), lambda x: V.scale(x, -0.5), np.diag([-0.5] * 3 + [-1.0] * 3), f)
+    assert lie < 1e-8
+    assert losses.mode_shapes(m, [0]).shape == (1, 3)
+    with pytest.raises(ValueError):
+        losses.rollout_loss(m, f, 8)
+    g = latent.GraphOperator(latent.DiscreteOperator(2), latent.DiscreteOperator(2))
+    assert losses.sparsity(g) > 0 and losses.sparsity(g, 0.5) > 0
