@@ -52,3 +52,47 @@ def sampled_interval(mean: np.ndarray, cov: np.ndarray, decode, level: float = 0
     y = np.array([decode(z) for z in draws])
     a, b = np.quantile(y, quantile_levels(level), axis=0)
     return decode(mean), a, b
+
+
+class GaussianForecaster:
+    """Intervals of a fitted model from Gaussian latent uncertainty: the filtered
+    state and covariance of each origin's node move by the operator, and samples
+    are decoded."""
+
+    def __init__(self, model, process: float = 1e-3, noise: float = 1e-2, prior: float = 1.0, samples: int = 64, seed: int = 0):
+        if min(process, noise, prior) <= 0 or samples < 1:
+            raise ValueError("variances and the number of samples must be positive")
+        self.model, self.process, self.noise, self.prior, self.samples, self.seed = model, process, noise, prior, samples, seed
+
+    def _transition(self) -> np.ndarray:
+        from nodalis.operators.latent import ContinuousOperator
+
+        op = self.model.operator
+        return op.transition(self.model.time_step) if isinstance(op, ContinuousOperator) else op.matrix()
+
+    def filtered(self, frames) -> DataFrame:
+        """(traj, t, node, f, var): filtered latent means and variances."""
+        from nodalis.operators.estimation import Observer
+
+        return Observer(self._transition(), self.process, self.noise, self.prior).filter(frames.with_features(self.model.encode(frames)))
+
+    def predict(self, frames, steps: int) -> DataFrame:
+        return self.model.predict(frames, steps)
+
+    def predict_interval(self, frames, steps: int, level: float = 0.9) -> DataFrame:
+        """(traj, origin, h, node, c, mean, lower, upper)."""
+        import pandas as pd
+
+        k, decoder, q, n, seed = self._transition(), self.model.decoder, self.process, self.samples, self.seed
+
+        def batch(parts):
+            for pdf in parts:
+                rows = []
+                for r in pdf.itertuples(index=False):
+                    ms, ps = gaussian_forecast(k, np.array(r.f), np.diag(r.var), q, steps)
+                    for h in range(steps):
+                        mean, lo, hi = sampled_interval(ms[h], ps[h], lambda z: decoder @ z, level, n, seed + h)
+                        rows += [(r.traj, r.t, h + 1, r.node, c, float(mean[c]), float(lo[c]), float(hi[c])) for c in range(len(mean))]
+                yield pd.DataFrame(rows, columns=["traj", "origin", "h", "node", "c", "mean", "lower", "upper"])
+
+        return self.filtered(frames).mapInPandas(batch, "traj int, origin int, h int, node int, c int, mean double, lower double, upper double")

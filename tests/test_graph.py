@@ -561,3 +561,34 @@ def test_losses(spark):
         losses.rollout_loss(m, f, 8)
     g = latent.GraphOperator(latent.DiscreteOperator(2), latent.DiscreteOperator(2))
     assert losses.sparsity(g) > 0 and losses.sparsity(g, 0.5) > 0
+
+
+def test_contracts_and_gaussian_intervals(spark):
+    from nodalis.operators import contracts as C
+
+    f = decay(spark, 8)
+    m = model.GraphModel().fit(f)
+    assert isinstance(m, C.Forecaster) and isinstance(m.operator, C.LatentOperator) and C.takes_only_data(m)
+    assert not C.takes_only_data(fit.DMDc())
+    assert C.similarity(m, m.spectrum()) == 0.0 and C.similarity_matrix([m, m]).shape == (2, 2)
+    with pytest.raises(TypeError):
+        C.resolve_spectrum(3)
+    g = uncertainty.GaussianForecaster(m, samples=32)
+    assert isinstance(g, C.IntervalForecaster)
+    i = g.predict_interval(f.slice(0, 2), 2).collect()
+    assert len(i) == 60 and all(r.lower <= r["mean"] + 0.2 and r["mean"] - 0.2 <= r.upper and r.lower < r.upper for r in i)
+
+
+def test_named_benchmarks(spark, tmp_path):
+    from nodalis.sources import benchmarks as B
+
+    (tmp_path / "case.m").write_text(CASE)
+    p = B.power_grid(spark, matpower.read(spark, f"{tmp_path}/case.m"), 3, ramp=True)
+    got = {(r.t, r.node): r.f for r in p.snap.collect()}
+    assert len(got) == 9 and got[1, 0][2] == pytest.approx(0.5 * (1 + 0.1 * math.sin(2 * math.pi * 2 / 24)))
+    assert got[1, 2][0] == pytest.approx(0.98) and p.control_dim == 1
+    e = B.epidemic_network(spark, 6, 3, controls=[0.0, 0.5, 0.0])
+    assert all(abs(sum(r.f) - 1) < 1e-12 for r in e.snap.collect()) and e.num_timesteps == 3
+    assert B.epidemic_network(spark, 10, 2, topology="small_world").edges.count() == 40
+    assert B.chaotic_ring(spark, 8, 4, (0, 1)).validate().num_timesteps == 4
+    assert B.flame_front(spark, 16, 3).num_nodes == 16
