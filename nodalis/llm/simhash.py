@@ -42,6 +42,8 @@ from nodalis.llm.components import components
 SEED = 42
 #: Rows of a group that one task takes at once.
 GROUP_ROWS = 16_384
+#: Large groups whose sizes are broadcast, at most (some 20 bytes each).
+HOT_KEYS = 100_000
 #: Codes in a leaf and children of a node.
 FAN = 16
 #: Bins of the one-permutation MinHash sketch (a byte each) that checks wide-radius candidates.
@@ -330,17 +332,18 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
     whose pairs (fp, sketch) are distinct; w is the estimated similarity."""
     spark = codes.sparkSession
     wide = least is not None
-    keyed = codes.select(
-        "id", "fp", *(["sketch"] if wide else []),
-        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k"),
-    ).select("id", "fp", *(["sketch"] if wide else []), "k.i", "k.key")
-    size = codes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k")).groupBy("k.i", "k.key").agg(F.count("*").alias("n"))
-    # groups of one have no links; large ones fall into chunks that meet in pairs
-    size = size.where("n > 1").withColumn("chunks", F.ceil(F.col("n") / GROUP_ROWS).cast("int"))
-    dealt = keyed.join(size, ["i", "key"]).withColumn("c", F.pmod(F.xxhash64("fp", "id"), F.col("chunks")).cast("int"))
+    key = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
+    carry = ["id", "fp", *(["sketch"] if wide else [])]
+    keyed = codes.select(*carry, key.alias("k")).select(*carry, "k.i", "k.key")
+    # only large groups' sizes matter: they fall into chunks that meet in pairs
+    size = codes.select(key.alias("k")).groupBy("k.i", "k.key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
+    hot = cut(size.select("i", "key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("chunks")))
+    few = hot.count() <= HOT_KEYS  # else both sides are dealt by key
+    dealt = keyed.join(F.broadcast(hot) if few else hot, ["i", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("fp", "id"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.where((F.col("chunks") < 3) | (F.col("c") != F.col("o"))).where((F.col("chunks") != 2) | (F.col("o") == 0))
-    dealt = dealt.select("id", "fp", *(["sketch"] if wide else []), F.xxhash64("i", "key", F.when(F.col("chunks") < 3, F.lit(0)).otherwise(F.least("c", "o")), F.when(F.col("chunks") < 3, F.lit(0)).otherwise(F.greatest("c", "o"))).alias("g"))
+    dealt = dealt.select(*carry, F.xxhash64("i", "key", F.when(F.col("chunks") < 3, F.lit(0)).otherwise(F.least("c", "o")), F.when(F.col("chunks") < 3, F.lit(0)).otherwise(F.greatest("c", "o"))).alias("g"))
     dealt = dealt.repartition("g").sortWithinPartitions("g")
 
     def group(ids, fps, sks):
