@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from nodalis import schema
 from nodalis.functions import vectors as V
+from nodalis.functions.indexing import dense_index
 
 
 @dataclass(frozen=True)
@@ -241,8 +242,8 @@ def windows(frames: Frames, length: int, seed: int | None = None, epoch: int = 0
         raise ValueError("a window has two steps at least")
     per = frames.snap.groupBy("traj").agg(F.max("t").alias("last"))
     all_ = per.where(F.col("last") + 1 >= length).select("traj", F.explode(F.sequence(F.lit(0), F.col("last") + 1 - length)).alias("start"))
-    order = [F.xxhash64(F.lit(seed + epoch), "traj", "start")] if seed is not None else []
-    ranked = all_.withColumn("rank", F.row_number().over(Window.orderBy(*order, "traj", "start")) - 1)
+    order = F.xxhash64(F.lit(seed + epoch), "traj", "start") if seed is not None else F.col("traj")
+    ranked = dense_index(all_, order, ("traj", "start"), "rank")
     ranked = ranked if limit is None else ranked.where(F.col("rank") < limit)
     return ranked.withColumn("batch", F.floor(F.col("rank") / batch).cast("int"))
 

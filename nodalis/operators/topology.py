@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodalis.functions import vectors as V
+from nodalis.functions.indexing import dense_index
 from nodalis.operators.frames import Frames
 
 
@@ -242,7 +243,7 @@ def knn_edges(points: DataFrame, k: int, block: int = 4096) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, numbering) of the subgraph on ``nodes`` (node), numbered anew in
     order: two semi-join like equi-joins."""
-    new = nodes.select("node").distinct().withColumn("new", F.row_number().over(Window.orderBy("node")) - 1)
+    new = dense_index(nodes.select("node").distinct(), "node", name="new")
     e = edges
     for side in ("src", "dst"):
         e = e.join(new.select(F.col("node").alias(side), F.col("new").alias(f"_{side}")), side)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nodalis.functions.indexing import dense_index
 from nodalis.operators.frames import Frames
 
 
@@ -13,9 +14,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _grid(values: DataFrame, nodes: DataFrame, steps: DataFrame, columns: list[str]) -> DataFrame:
-    """Every (t, node) with its features, zeros where there are no rows.  Nodes
-    and steps are dimension tables."""
-    full = steps.crossJoin(F.broadcast(nodes)).join(values, ["t", "node"], "left")
+    """Every (t, node) with its features, zeros where there are no rows.  Steps are
+    the smaller dimension table (a row for each month or day)."""
+    full = nodes.crossJoin(F.broadcast(steps)).join(values, ["t", "node"], "left")
     return full.select(F.lit(0).alias("traj"), F.col("t").cast("int").alias("t"), F.col("node").cast("int").alias("node"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("f"))
 
 
@@ -75,10 +76,10 @@ def users(spark: SparkSession, sf_dir: str) -> Frames:
     their ids; days without an event are unobserved."""
     e = _from_zero(_days(read(spark, sf_dir, "events").select("ts", "user_id", "value")))
     v = e.groupBy("t", "user_id").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    ids = v.select("user_id").distinct().withColumn("node", F.row_number().over(Window.orderBy("user_id")) - 1)
+    ids = dense_index(v.select("user_id").distinct(), "user_id")
     v = v.join(ids, "user_id").select("t", "node", "s", "n")
     nodes, steps = ids.select("node"), v.select("t").distinct()
-    mask = steps.crossJoin(nodes).join(v.select("t", "node", F.lit(True).alias("o")), ["t", "node"], "left").select(F.lit(0).alias("traj"), F.col("t").cast("int").alias("t"), F.col("node").cast("int").alias("node"), F.coalesce("o", F.lit(False)).alias("observed"))
+    mask = nodes.crossJoin(F.broadcast(steps)).join(v.select("t", "node", F.lit(True).alias("o")), ["t", "node"], "left").select(F.lit(0).alias("traj"), F.col("t").cast("int").alias("t"), F.col("node").cast("int").alias("node"), F.coalesce("o", F.lit(False)).alias("observed"))
     size = ids.agg(F.count("*").alias("_n"))
     one = ids.crossJoin(F.broadcast(size)).select(F.col("node").alias("src"), F.pmod(F.col("node") + 1, F.col("_n")).alias("dst"), F.lit(1.0).alias("w"))  # one row
     ring = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))

@@ -592,3 +592,16 @@ def test_named_benchmarks(spark, tmp_path):
     assert B.epidemic_network(spark, 10, 2, topology="small_world").edges.count() == 40
     assert B.chaotic_ring(spark, 8, 4, (0, 1)).validate().num_timesteps == 4
     assert B.flame_front(spark, 16, 3).num_nodes == 16
+
+
+def test_dense_index_equals_a_global_sort(spark):
+    from nodalis.functions.indexing import dense_index
+
+    r = np.random.default_rng(4)
+    keys = [int(k) for k in r.integers(-50, 50, 300)] + [2**60, 2**60 + 1, None]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, k long").repartition(5)
+    want = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    for buckets in (1, 7, 64):
+        got = [q.i for q in dense_index(df, "k", ("i",), "n", buckets).orderBy("n").collect()]
+        assert got == want
+    assert dense_index(df.where("false"), "k", ("i",)).count() == 0
