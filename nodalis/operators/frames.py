@@ -19,6 +19,18 @@ from nodalis.functions import vectors as V
 from nodalis.functions.indexing import dense_index
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A table that several plans read, made once: checkpointed where a shared
+    folder is configured, else persisted.  Meant for aggregates, which are small
+    beside the tables that they come from."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+        return df.checkpoint()
+    return df.persist()
+
+
 @dataclass(frozen=True)
 class Frames:
     """snap (traj, t, node, f); edges (traj, t, src, dst, w) with t null where the

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nodalis.functions import vectors as V
 from nodalis.functions.indexing import dense_index
-from nodalis.operators.frames import Frames
+from nodalis.operators.frames import Frames, kept
 
 
 def _step(frames: Frames) -> list[str]:
@@ -87,18 +87,34 @@ def diffusion_supports(edges: DataFrame, nodes: DataFrame, steps: int, interleav
     return out.select("support", "traj", "t", "src", "dst", "w")
 
 
-def apply(entries: DataFrame, snap: DataFrame, channels: int, dynamic: bool = False) -> DataFrame:
+def apply(entries: DataFrame, snap: DataFrame, channels: int, dynamic: bool = False, complete: bool = False) -> DataFrame:
     """(traj, t, node, f): entries times features, zero rows where a node has no
-    entry.  One equi-join on the node and one aggregation with partial sums."""
+    entry.  One equi-join on the node and one aggregation with partial sums.  With
+    ``complete`` every node has an entry (a diagonal, say), and the plan reads
+    ``snap`` once, so that steps in a row make a plan of linear size."""
     e = entries.select(F.col("traj").alias("_traj"), F.col("t").alias("_t"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("w").alias("_w"))
     on = (F.col("traj") == F.col("_traj")) & (F.col("node") == F.col("_dst"))
     if dynamic:
         on &= F.col("t") == F.col("_t")
     sums = [F.sum(F.col("_w") * F.col("f")[c]).alias(f"_{c}") for c in range(channels)]
     got = snap.join(e, on).groupBy("traj", "t", F.col("_src").alias("node")).agg(*sums).select("traj", "t", "node", F.array(*[f"_{c}" for c in range(channels)]).alias("_f"))
+    if complete:
+        return got.withColumnRenamed("_f", "f")
     return snap.select("traj", "t", "node").join(got, ["traj", "t", "node"], "left").select("traj", "t", "node", F.coalesce("_f", V.zeros(channels)).alias("f"))
 
 
+def with_self(edges: DataFrame, nodes: DataFrame, weight: str | None = None) -> DataFrame:
+    """(_src, _dst, _w, _self), and _traj if both sides tell trajectories: edges and
+    a marked loop at every node, so that one join and one aggregation bring a node
+    its neighbours' values and its own."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    by = ["traj"] if "traj" in edges.columns and "traj" in nodes.columns else []
+    keep = [F.col(c).alias(f"_{c}") for c in by]
+    e = edges.select(*keep, F.col("src").alias("_src"), F.col("dst").alias("_dst"), w.alias("_w"), F.lit(False).alias("_self"))
+    own = nodes.select(*by, "node").distinct()
+    return e.unionByName(own.select(*keep, F.col("node").alias("_src"), F.col("node").alias("_dst"), F.lit(1.0).alias("_w"), F.lit(True).alias("_self")))
+
+
 def adjacency_matvec(frames: Frames) -> DataFrame:
     return apply(normalized_adjacency(frames.edges), frames.snap, frames.channels, frames.dynamic)
 
@@ -257,14 +273,15 @@ def diffuse_impute(snap: DataFrame, mask: DataFrame, edges: DataFrame, channels:
     """Jacobi rounds: an unobserved node takes the mean of its in-neighbours (0
     without any), observed ones keep their values.  ``edges`` static."""
     keys = ["traj", "t", "node"]
-    base = snap.join(mask, keys, "left").select(*keys, "f", F.coalesce("observed", F.lit(True)).alias("o"))
-    e = edges.select(F.col("traj").alias("_traj"), F.col("src").alias("_src"), F.col("dst").alias("_dst"))
-    out = base
+    out = snap.join(mask, keys, "left").select(*keys, "f", F.coalesce("observed", F.lit(True)).alias("o"))
+    e = kept(with_self(edges, snap))  # read in every round
+    far = ~F.col("_self")
     for k in range(rounds):
-        sums = [F.sum(F.col("f")[c]).alias(f"_{c}") for c in range(channels)]
-        mean = out.join(e, (F.col("traj") == F.col("_traj")) & (F.col("node") == F.col("_src"))).groupBy("traj", "t", F.col("_dst").alias("node")).agg(F.count("*").alias("_n"), *sums)
-        mean = mean.select(*keys, F.array(*[F.col(f"_{c}") / F.col("_n") for c in range(channels)]).alias("_m"))
-        out = out.join(mean, keys, "left").select(*keys, F.when(F.col("o"), F.col("f")).otherwise(F.coalesce("_m", V.zeros(channels))).alias("f"), "o")
+        sums = [F.sum(F.when(far, F.col("f")[c])).alias(f"_{c}") for c in range(channels)]
+        own = F.max(F.when(F.col("_self"), F.struct("o", "f"))).alias("_own")
+        got = out.join(e, (F.col("node") == F.col("_src")) & (F.col("traj") == F.col("_traj"))).groupBy("traj", "t", F.col("_dst").alias("node")).agg(F.sum(far.cast("int")).alias("_n"), own, *sums)
+        mean = F.array(*[F.coalesce(F.col(f"_{c}") / F.nullif(F.col("_n"), F.lit(0)), F.lit(0.0)) for c in range(channels)])
+        out = got.select(*keys, F.when(F.col("_own.o"), F.col("_own.f")).otherwise(mean).alias("f"), F.col("_own.o").alias("o"))
         if k % 4 == 3 and k + 1 < rounds and out.sparkSession.sparkContext.getCheckpointDir():
             out = out.checkpoint()
     return out.select(*keys, "f")

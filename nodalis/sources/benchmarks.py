@@ -24,7 +24,7 @@ def power_grid(spark: SparkSession, case: matpower.Case, steps: int = 80, rate:
     volts = start.withColumn("f", F.slice("f", 1, 2))
     out = [start]
     for k in range(1, steps):
-        volts = simulators._cut(apply(entries, volts.withColumn("t", F.lit(k)), 2).withColumn("f", V.scale("f", decay)), k)
+        volts = simulators._cut(apply(entries, volts.withColumn("t", F.lit(k)), 2, complete=True).withColumn("f", V.scale("f", decay)), k)
         load = 1 + swing * math.sin(2 * math.pi * (k + 1) / period)
         now = volts.join(base, ["traj", "node"]).select("traj", "t", "node", F.concat("f", V.scale("b", load)).alias("f"))
         if noise > 0:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from nodalis import schema
 from nodalis.functions import vectors as V
-from nodalis.operators.frames import Frames
-from nodalis.operators.topology import apply, grid_edges, knn_edges, normalized_laplacian, path_edges, ring_edges
+from nodalis.operators.frames import Frames, kept
+from nodalis.operators.topology import apply, grid_edges, knn_edges, normalized_laplacian, path_edges, ring_edges, with_self
 
 CUT = 10
 
@@ -47,10 +47,10 @@ def diffusion(snap: DataFrame, edges: DataFrame, steps: int, rate: float, decay:
     """Steps 0 .. steps - 1 of x' = decay (I - rate L) x + noise."""
     if decay <= 0 or noise < 0 or steps < 1:
         raise ValueError("decay must be positive, noise not negative, and there must be a step")
-    entries = step_entries(edges, rate, snap)
+    entries = kept(step_entries(edges, rate, snap))
     out, now = [snap], snap
     for k in range(1, steps):
-        now = apply(entries, now.withColumn("t", F.lit(k)), channels).withColumn("f", F.transform("f", lambda x: x * decay))
+        now = apply(entries, now.withColumn("t", F.lit(k)), channels, complete=True).withColumn("f", F.transform("f", lambda x: x * decay))
         if noise > 0:
             now = now.withColumn("f", V.add("f", F.array(*[noise * F.randn(seed * 1000 + k * channels + c) for c in range(channels)])))
         now = _cut(now, k)
@@ -79,10 +79,13 @@ def advection_step(snap: DataFrame, rows: int, cols: int, decay: float = 0.85, w
     e = e.withColumn("kind", kind)
     others = F.sum(F.when(F.col("kind") == "o", 1).otherwise(0)).over(Window.partitionBy("src"))
     e = e.withColumn("w", F.when(F.col("kind") == "w", west).when(F.col("kind") == "n", north).otherwise((1 - west - north) / others))
-    e = e.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select(F.col("src").alias("_src"), F.col("dst").alias("node"), "w")
-    size = len(snap.select("f").head()[0]) if snap.head(1) else 0
-    mix = snap.join(e, "node").groupBy("traj", "t", F.col("_src").alias("node")).agg(*[F.sum(F.col("w") * F.col("f")[k]).alias(f"_{k}") for k in range(size)]).select("traj", "t", "node", F.array(*[f"_{k}" for k in range(size)]).alias("m"))
-    out = snap.join(mix, ["traj", "t", "node"], "left").withColumn("f", F.zip_with("f", F.coalesce("m", "f"), lambda x, m: decay * x + (1 - decay) * m))
+    e = with_self(e.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), spark.range(rows * cols).select(F.col("id").cast("int").alias("node")), "w")
+    both = snap.join(e, F.col("node") == F.col("_src"))
+    # a node's neighbours weighted, entry by entry, and its own values
+    part = both.select("traj", "t", F.col("_dst").alias("node"), "_self", F.posexplode(F.transform("f", lambda x: x * F.col("_w"))).alias("c", "x"))
+    got = part.groupBy("traj", "t", "node", "c").agg(F.sum(F.when(~F.col("_self"), F.col("x"))).alias("m"), F.max(F.when(F.col("_self"), F.col("x"))).alias("x"))
+    step = decay * F.col("x") + (1 - decay) * F.coalesce("m", "x")
+    out = got.groupBy("traj", "t", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", step.alias("v")))), lambda s: s.v).alias("f"))
     return out.select("traj", (F.col("t") + 1).alias("t"), "node", "f")
 
 
@@ -100,12 +103,14 @@ def epidemic(spark: SparkSession, start: DataFrame, edges: DataFrame, steps: int
     divided by their number of different neighbours, recovery gamma i."""
     e = edges.select("src", "dst").distinct()
     deg = e.groupBy("src").agg(F.count("*").alias("d"))
-    e = e.join(deg, "src").select(F.col("src").alias("_src"), F.col("dst").alias("node"), (1 / F.greatest("d", F.lit(1))).alias("w"))
+    e = e.join(deg, "src").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.greatest("d", F.lit(1))).alias("w"))
+    e = kept(with_self(e, start, "w"))
     out, now = [start], start
     for k in range(1, steps):
         u = controls[k - 1] if controls else 0.0
-        press = now.join(e, "node").groupBy("traj", F.col("_src").alias("node")).agg(F.sum(F.col("w") * F.col("f")[1]).alias("p"))
-        s = now.join(press, ["traj", "node"], "left").select("traj", "node", F.col("f")[0].alias("s"), F.col("f")[1].alias("i"), F.col("f")[2].alias("r"), F.coalesce("p", F.lit(0.0)).alias("p"))
+        own = F.max(F.when(F.col("_self"), F.col("f"))).alias("f")
+        s = now.join(e, F.col("node") == F.col("_src")).groupBy("traj", F.col("_dst").alias("node")).agg(own, F.sum(F.when(~F.col("_self"), F.col("_w") * F.col("f")[1])).alias("p"))
+        s = s.select("traj", "node", F.col("f")[0].alias("s"), F.col("f")[1].alias("i"), F.col("f")[2].alias("r"), F.coalesce("p", F.lit(0.0)).alias("p"))
         s = s.withColumn("new", beta * (1 - u) * F.col("s") * F.col("p")).withColumn("rec", gamma * F.col("i"))
         s = s.withColumn("i2", F.greatest(F.lit(0.0), F.col("i") + F.col("new") - F.col("rec"))).withColumn("r2", F.greatest(F.lit(0.0), F.col("r") + F.col("rec")))
         now = _cut(s.select("traj", F.lit(k).alias("t"), "node", F.array(F.greatest(F.lit(0.0), 1 - F.col("i2") - F.col("r2")), "i2", "r2").alias("f")), k)

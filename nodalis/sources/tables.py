@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodalis.functions.indexing import dense_index
-from nodalis.operators.frames import Frames
+from nodalis.operators.frames import Frames, kept
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,8 @@ def trade(spark: SparkSession, sf_dir: str) -> Frames:
     partial sums is all that grows with orders."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("t"))
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("node"))
-    v = o.join(c, "o_custkey").groupBy("t", "node").agg((F.sum("o_totalprice") / 1e6).alias("x"), F.count("*").alias("c"))
+    # every later plan reads these sums (nations x months), not orders again
+    v = kept(o.join(c, "o_custkey").groupBy("t", "node").agg((F.sum("o_totalprice") / 1e6).alias("x"), F.count("*").alias("c")))
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("r"))
     steps = v.select("t").distinct()
     e = n.select(F.col("node").alias("src"), "r").join(n.select(F.col("node").alias("dst"), "r"), "r").where("src <> dst").withColumn("w", F.lit(1.0))
@@ -47,7 +48,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b"))
     pairs = li.join(s, "l_suppkey").join(o.join(c, "o_custkey"), "l_orderkey").groupBy("a", "b").agg((F.sum("rev") / 1e6).alias("w")).where("a <> b")
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
-    return _static(both.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    return kept(_static(both.groupBy("src", "dst").agg(F.sum("w").alias("w"))))  # pairs of nations
 
 
 def _days(e: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def events(spark: SparkSession, sf_dir: str) -> Frames:
     e = _from_zero(_days(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")))
     kinds = e.select("event_type").distinct().withColumn("node", F.row_number().over(Window.orderBy("event_type")) - 1)
     k = e.join(F.broadcast(kinds), "event_type")  # a handful of types
-    v = k.groupBy("t", "node").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.avg("value").alias("m"))
+    v = kept(k.groupBy("t", "node").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.avg("value").alias("m")))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     follow = k.select("node", F.lead("node").over(w).alias("dst")).where("dst is not null").groupBy(F.col("node").alias("src"), "dst").agg(F.count("*").cast("double").alias("w"))
     return Frames(_grid(v, kinds.select("node"), v.select("t").distinct(), ["n", "s", "m"]), _static(follow))
@@ -75,7 +76,7 @@ def users(spark: SparkSession, sf_dir: str) -> Frames:
     """Users by day: sum and count of values, on a ring of users in order of
     their ids; days without an event are unobserved."""
     e = _from_zero(_days(read(spark, sf_dir, "events").select("ts", "user_id", "value")))
-    v = e.groupBy("t", "user_id").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    v = kept(e.groupBy("t", "user_id").agg(F.sum("value").alias("s"), F.count("*").alias("n")))
     ids = dense_index(v.select("user_id").distinct(), "user_id")
     v = v.join(ids, "user_id").select("t", "node", "s", "n")
     nodes, steps = ids.select("node"), v.select("t").distinct()

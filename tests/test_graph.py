@@ -141,6 +141,10 @@ def test_impute_pins_observed_nodes(spark):
     f = from_arrays(spark, [[[1.0], [50.0], [3.0]]], [(0, 1), (1, 0), (1, 2), (2, 1)], masks=[[True, False, True]])
     got = {r.node: r.f[0] for r in topology.diffuse_impute(f.snap, f.mask, f.edges, 1).collect()}
     assert got == {0: 1.0, 1: 2.0, 2: 3.0}
+    # trajectories with edges of their own
+    g = multi([f, Frames(f.snap, f.edges.where("src + dst = 1"), mask=f.mask)])
+    got = {(r.traj, r.node): r.f[0] for r in topology.diffuse_impute(g.snap, g.mask, g.edges, 1).collect()}
+    assert (got[0, 1], got[1, 1]) == (2.0, 1.0)
 
 
 def test_pool_and_unpool(spark):
