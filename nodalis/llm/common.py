@@ -51,6 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows, or elements of their arrays, that a broadcast side may have (some tens of MB).
+SMALL = 500_000
+
+
+def if_small(df: DataFrame, size=None) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it has SMALL rows (of
+    ``size`` each, 1 by default) at most; else Spark deals both sides by key."""
+    df = cut(df)
+    n = df.agg(F.sum(F.lit(1) if size is None else size)).first()[0] or 0
+    return F.broadcast(df) if n <= SMALL else df
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % HOLD_OUT_MOD == 0

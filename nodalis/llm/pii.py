@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import cut, table
+from nodalis.llm.common import cut, if_small, table
 
 #: Kinds in the order that ties in the lists take.
 KINDS = ("email", "ip", "card", "phone")
@@ -168,6 +168,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with each span of its text replaced by its kind in brackets; of
     overlapping spans the first has its name.  Null texts stay null."""
     found = find(df, key, text).select(F.col(key).alias("_k"), F.col("h").alias("_h"), F.col("spans").alias("_s")).where("size(_s) > 0").dropDuplicates(["_k", "_h"])
+    found = if_small(found, F.size("_s") + 1)
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in (*KINDS, "id")) + ")"
     masked = F.expr(f"""
       aggregate(_s, struct(cast(0 as bigint) as at, '' as out),

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import cut, table
+from nodalis.llm.common import cut, if_small, table
 from nodalis.llm.components import components
 
 SEED = 42
@@ -457,7 +457,7 @@ def checked(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int, least:
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``df`` with one row of each group of copies and near copies, that of the
     smallest key; rows without a key stay."""
-    gone = near_copies(df, key, text, **how).select(F.col(key).alias("_gone")).distinct()
+    gone = if_small(near_copies(df, key, text, **how).select(F.col(key).alias("_gone")).distinct())
     return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
 
 

@@ -116,3 +116,14 @@ def test_sketch_estimates_similarity():
         b = np.r_[common, r.integers(0, 2**63, rest - rest // 2, dtype=np.uint64)]
         s = np.frombuffer(S.sketch(a) + S.sketch(b), np.uint8).reshape(2, -1)
         assert abs(S.alike(s[:1], s[1:])[0] - j) < 0.12
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    from nodalis.llm import common, pii
+
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "mail x@y.example now"), (None, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [sorted(map(str, S.drop_near_copies(df).collect())), sorted(map(str, pii.redact(df).collect()))]
+    monkeypatch.setattr(common, "SMALL", 0)
+    assert [sorted(map(str, S.drop_near_copies(df).collect())), sorted(map(str, pii.redact(df).collect()))] == want
+    assert len(want[0]) == 3 and "mail [EMAIL] now" in str(want[1])
