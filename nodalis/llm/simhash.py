@@ -3,7 +3,8 @@
 Fingerprints: texts are lower-cased (A-Z), cut into words at space and control
 white space, and hashed by shingles of ``k`` words (XXH64, seed 42, repeats
 included); a bit is 1 if set in over half the hashes.  Fewer words than k make
-one shingle, no words the fingerprint zero.
+one shingle, no words the fingerprint zero.  The wide search for near copies
+counts each distinct shingle once, since its measure is of sets.
 
 Search: distinct fingerprints are dealt out by masked keys, so that whatever may
 link shares a group, and every group is searched through a hierarchical index in
@@ -93,8 +94,9 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def fingerprints(df: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text", with_sketch: bool = False) -> DataFrame:
-    """(key, fp long[, sketch binary]) for every row of ``df``; no shuffle."""
+def fingerprints(df: DataFrame, k: int = 3, key: str = "doc_id", text: str = "text", with_sketch: bool = False, distinct: bool = False) -> DataFrame:
+    """(key, fp long[, sketch binary]) for every row of ``df``; no shuffle.  If
+    ``distinct``, a shingle votes once however often it stands in a text."""
     src = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
     names = [key, "fp", *(["sketch"] if with_sketch else [])]
 
@@ -105,7 +107,7 @@ def fingerprints(df: DataFrame, k: int = 3, key: str = "doc_id", text: str = "te
                 fps, sketches = [], []
                 for t in b.column(1).to_pylist():
                     h = shingle_hashes(t, k)
-                    fps.append(fingerprint(h))
+                    fps.append(fingerprint(np.unique(h) if distinct else h))
                     if with_sketch:
                         sketches.append(sketch(h))
                 cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
@@ -417,10 +419,11 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     """(key, component) for rows of ``df`` whose component has another row's key
     as its smallest: copies and near copies of ``least`` similarity or more.
 
-    At similarity J the words' cosine is 2J / (1 + J), and a bit differs with
+    Fingerprints are of the sets of shingles, as the similarity is.  At
+    similarity J the sets' cosine is 2J / (1 + J), and a bit differs with
     chance acos(cosine) / pi; masks are drawn for that chance, so unrelated
     fingerprints meet in groups of bounded size however many there are."""
-    fps = cut(fingerprints(df, k, key, text, with_sketch=True))
+    fps = cut(fingerprints(df, k, key, text, with_sketch=True, distinct=True))
     codes = cut(fps.groupBy("fp", "sketch").agg(F.min(key).alias("id"), F.count("*").alias("n")))
     differ = math.acos(2 * least / (1 + least)) / math.pi
     masks = sampled_masks(codes.count(), differ, miss)

@@ -146,3 +146,20 @@ def test_strongest_forest_equals_kruskal():
             root[a] = b
             want.append(i)
     assert sorted(got.tolist()) == sorted(want)
+
+
+def similar(a, b):
+    a, b = (set(S.shingle_hashes(t, S.NEAR_SHINGLE).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_that_repeat_a_line_against_brute_force(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(40):
+        body = " ".join(f"w{r.randrange(10**9)}" for _ in range(150))
+        line = " ".join(f"l{r.randrange(10**9)}" for _ in range(8))
+        rows += [(2 * i, f"{body} " + f"{line} " * 2, "x"), (2 * i + 1, f"{body} " + f"{line} " * r.choice([10, 20, 40]), "x")]
+    got = {(x.doc_id, x.component) for x in S.near_copies(spark.createDataFrame(rows, TEXT)).collect()}
+    assert got == {(j, i) for i, a, _ in rows for j, b, _ in rows if i < j and similar(a, b) >= S.NEAR_LEAST}
+    assert len(got) == 40
