@@ -14,7 +14,8 @@ way down and drops a whole node once they exceed the radius.  Groups above
 GROUP_ROWS are split into pairs of chunks, so none needs one task.
 
 Links within a group are kept as a spanning forest (the least that carries the
-same components): a group of n copies gives n - 1 edges, not n squared.
+same components): a group of n copies gives n - 1 edges, not n squared.  Only
+near copies whose sketches leave doubt give all their pairs, for an exact check.
 
 Two families of masks: ``exact_masks`` (each pair within the radius agrees on
 at least one mask) and ``sampled_masks`` for radii where no small exact family
@@ -45,6 +46,8 @@ SEED = 42
 GROUP_ROWS = 16_384
 #: Large groups whose sizes are broadcast, at most (some 20 bytes each).
 HOT_KEYS = 100_000
+#: Doubtful pairs (and edges) that a task holds at once, about.
+DOUBTFUL = 500_000
 #: Codes in a leaf and children of a node.
 FAN = 16
 #: Bins of the one-permutation MinHash sketch (a byte each) that checks wide-radius candidates.
@@ -218,15 +221,20 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0, sure: float = 0.0) -> list[tuple[int, int, float]]:
     """Edges (numbers of codes, similarity) that join all codes linked within the
-    radius.  With sketches, an edge needs an estimated similarity of ``least``;
-    those of ``sure`` or more join first, and what they leave apart is joined by
-    a forest of the most similar pairs.  In such a forest the weakest edge
-    between two codes is as strong as on any path, so dropping edges later that
-    an exact check refuses leaves the right components."""
+    radius; with sketches all those of ``links``."""
+    return [(x, y, w) for block in links(codes, radius, sketches, least, sure) for x, y, w, _ in block]
+
+
+def links(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0, sure: float = 0.0):
+    """Blocks of edges (numbers of codes, similarity, whether to check first):
+    a spanning forest of all codes linked within the radius.  With sketches, an
+    edge needs an estimated similarity of ``least``; those of ``sure`` or more
+    make the forest, and every other pair that it leaves apart is an edge to be
+    checked, the most similar that would join a block's components first."""
     index = GrayIndex(codes)
     n = len(index)
     root = np.arange(n)  # by place in Gray order
-    out: list[tuple[int, int, float]] = []
+    out: list[tuple[int, int, float, bool]] = []
     rest: list[np.ndarray] = []
     kept = 0
 
@@ -244,6 +252,15 @@ def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, l
                 return label
             label = up
 
+    def doubtful() -> list[tuple[int, int, float, bool]]:
+        label, e = labels(), np.concatenate(rest, axis=1)
+        x, y = e[:2].astype(np.int64)
+        apart = label[x] != label[y]
+        x, y, w = x[apart], y[apart], e[2][apart]
+        first = np.zeros(len(x), bool)
+        first[most_similar(label, x, y, w)] = True
+        return list(zip(index.order[x].tolist(), index.order[y].tolist(), w.tolist(), first.tolist(), strict=True))
+
     step = 512 if n <= 4096 else 128
     for at in range(0, n, step):
         block = np.arange(at, min(n, at + step))
@@ -278,16 +295,13 @@ def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, l
             a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((int(index.order[x]), int(index.order[y]), s))
-        if kept > 2_000_000:
-            rest = [np.concatenate(rest, axis=1)]
-            rest = [rest[0][:, most_similar(labels(), rest[0][0].astype(np.int64), rest[0][1].astype(np.int64), rest[0][2])]]
-            kept = rest[0].shape[1]
+                out.append((int(index.order[x]), int(index.order[y]), s, True))
+        if kept > DOUBTFUL:
+            yield doubtful()
+            rest, kept = [], 0
     if kept:
-        e = np.concatenate(rest, axis=1)
-        e = e[:, most_similar(labels(), e[0].astype(np.int64), e[1].astype(np.int64), e[2])]
-        out += [(int(index.order[int(x)]), int(index.order[int(y)]), s) for x, y, s in e.T.tolist()]
-    return out
+        yield doubtful()
+    yield out
 
 
 def most_similar(label: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -330,8 +344,10 @@ def _signed(x: int) -> int:
 
 
 def link(codes: DataFrame, masks: list[int], radius: int, least: float | None = None, sure: float = 0.0) -> DataFrame:
-    """Edges (u, v, w) between rows of ``codes`` (id long, fp long[, sketch]),
-    whose pairs (fp, sketch) are distinct; w is the estimated similarity."""
+    """Edges (u, v, w, first) between rows of ``codes`` (id long, fp long[,
+    sketch]), whose pairs (fp, sketch) are distinct; w is the estimated
+    similarity, and of those under ``sure`` the ``first`` are to be checked
+    before the others."""
     spark = codes.sparkSession
     wide = least is not None
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
@@ -350,8 +366,8 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
 
     def group(ids, fps, sks):
         # equal fingerprints of different sketches (wide only) stay apart in the index by place
-        for a, b, w in forest(fps, radius, sks, least or 0.0, sure):
-            yield int(ids[a]), int(ids[b]), w
+        for block in links(fps, radius, sks, least or 0.0, sure):
+            yield [(int(ids[a]), int(ids[b]), w, f) for a, b, w, f in block]
 
     def run(batches):
         left: pa.Table | None = None
@@ -369,14 +385,19 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
             if wide and len(two):
                 ws = alike(sks[two], sks[two + 1])
                 two, ws = two[ws >= least], ws[ws >= least]
-            us, vs, ws = ids[two].tolist(), ids[two + 1].tolist(), ws.tolist()
+            out = list(zip(ids[two].tolist(), ids[two + 1].tolist(), ws.tolist(), [True] * len(two), strict=True))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > 2:
-                    for a, b, w in group(ids[s:e], fps[s:e], None if sks is None else sks[s:e]):
-                        us.append(a)
-                        vs.append(b)
-                        ws.append(w)
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ws, pa.float64())], names=["u", "v", "w"])
+                    for block in group(ids[s:e], fps[s:e], None if sks is None else sks[s:e]):
+                        out += block
+                        if len(out) > DOUBTFUL:
+                            yield batch(out)
+                            out = []
+            yield batch(out)
+
+        def batch(edges: list) -> pa.RecordBatch:
+            u, v, w, f = zip(*edges, strict=True) if edges else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.float64()), pa.array(f, pa.bool_())], names=["u", "v", "w", "first"])
 
         for b in batches:
             t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
@@ -386,11 +407,11 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
             tail = len(g) - int(np.argmax(g[::-1] != g[-1])) if g[0] != g[-1] else 0
             left = t.slice(tail)
             if tail:
-                yield work(t.slice(0, tail))
+                yield from work(t.slice(0, tail))
         if left is not None and left.num_rows:
-            yield work(left)
+            yield from work(left)
 
-    return dealt.mapInArrow(run, "u long, v long, w double")
+    return dealt.mapInArrow(run, "u long, v long, w double, first boolean")
 
 
 def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFrame:
@@ -427,10 +448,16 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     codes = cut(fps.groupBy("fp", "sketch").agg(F.min(key).alias("id"), F.count("*").alias("n")))
     differ = math.acos(2 * least / (1 + least)) / math.pi
     masks = sampled_masks(codes.count(), differ, miss)
-    edges = cut(link(codes.where("id is not null").select("id", "fp", "sketch"), masks, radius, least - NEAR_DOUBT, least + NEAR_DOUBT).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w")))
-    doubt = edges.where(F.col("w") < least + NEAR_DOUBT).select("u", "v")
-    good = edges.where(F.col("w") >= least + NEAR_DOUBT).select("u", "v").unionByName(checked(doubt, df, key, text, k, least))
+    edges = cut(link(codes.where("id is not null").select("id", "fp", "sketch"), masks, radius, least - NEAR_DOUBT, least + NEAR_DOUBT).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w"), F.max("first").alias("first")))
+    doubt = edges.where(F.col("w") < least + NEAR_DOUBT)
+    good = cut(edges.where(F.col("w") >= least + NEAR_DOUBT).select("u", "v").unionByName(checked(doubt.where("first").select("u", "v"), df, key, text, k, least)))
     found = components(good)
+    # an edge that was refused hides no other: all doubtful pairs still apart are checked
+    a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    apart = F.coalesce("cu", "u") != F.coalesce("cv", "v")
+    more = cut(doubt.where(~F.col("first")).join(a, "u", "left").join(b, "v", "left").where(apart).select("u", "v"))
+    if not more.isEmpty():
+        found = components(good.unionByName(checked(more, df, key, text, k, least)))
     # of repeated keys and texts one row stays, but keys are what is dropped: a
     # key that stands for its own group is never listed
     reps = codes.join(found, codes.id == found.node, "left").select("fp", "sketch", F.coalesce("component", "id").alias("component"), F.coalesce(F.col("component") != F.col("id"), F.lit(False)).alias("moved"), "n").where("n > 1 or moved")

@@ -163,3 +163,30 @@ def test_near_copies_that_repeat_a_line_against_brute_force(spark):
     got = {(x.doc_id, x.component) for x in S.near_copies(spark.createDataFrame(rows, TEXT)).collect()}
     assert got == {(j, i) for i, a, _ in rows for j, b, _ in rows if i < j and similar(a, b) >= S.NEAR_LEAST}
     assert len(got) == 40
+
+
+def test_a_refused_pair_hides_no_other(spark):
+    codes = np.array([0, 1, 3], np.uint64)  # two sure copies, and a third doubtful with both
+    sketches = np.ones((3, S.BINS), np.uint8)
+    sketches[1, :6] = 2
+    sketches[2, 6:24] = 3
+    edges = {(min(a, b), max(a, b)) for a, b, _ in S.forest(codes, 18, sketches, 0.7, 0.9)}
+    assert edges == {(0, 1), (0, 2), (1, 2)}
+    r = random.Random(8)
+    made, near = [], 0
+    while near < 6:  # x is more like c by the sketches, but only d is a near copy of it
+        c = [f"w{r.randrange(10**9)}" for _ in range(300)]
+        d, x = list(c), list(c)
+        for i in range(4, 300, 44):
+            x[i] = "x"
+        d[4] = d[48] = "x"
+        d[20] = "d"
+        t = [" ".join(w) for w in (c, d, x)]
+        h = [S.shingle_hashes(w, S.NEAR_SHINGLE) for w in t]
+        s = [np.frombuffer(S.sketch(w), np.uint8)[None] for w in h]
+        cd, cx, dx = (float(S.alike(s[a], s[b])[0]) for a, b in ((0, 1), (0, 2), (1, 2)))
+        if cd >= 0.9 > cx > dx >= 0.7 and similar(t[0], t[2]) < 0.8 <= similar(t[1], t[2]):
+            made += [(3 * near + i, w, "x") for i, w in enumerate(t)]
+            near += 1
+    got = {(x.doc_id, x.component) for x in S.near_copies(spark.createDataFrame(made, TEXT)).collect()}
+    assert got == {(3 * i + j, 3 * i) for i in range(near) for j in (1, 2)}
