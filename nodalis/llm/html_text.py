@@ -119,6 +119,16 @@ class TreeBuilder(HTMLParser):
         elif tag not in VOID:
             self._close({tag}, {"td", "th", "caption"} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption", "html", "body") else {"table"} - {tag})
 
+    def parse_html_declaration(self, i):
+        # a marked section is a comment up to the next >, but for character data in svg and math
+        if self.rawdata[i : i + 3] != "<![":
+            return super().parse_html_declaration(i)
+        end = self.rawdata.find("]]>", i + 9)
+        if self.rawdata[i : i + 9] == "<![CDATA[" and (self.count["svg"] or self.count["math"]) and end >= 0:
+            self.handle_data(self.rawdata[i + 9 : end])
+            return end + 3
+        return self.parse_bogus_comment(i)
+
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
@@ -351,7 +361,7 @@ def text_of(html: str | None) -> str | None:
     try:
         b.feed(html)
         b.close()
-    except AssertionError:  # the tokenizer gives up on some broken declarations; what came before stays
+    except AssertionError:  # no markup known makes the tokenizer give up; if one did, what came before stays
         pass
     return render(b.root)
 

@@ -66,3 +66,8 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "z"), (2, None, "z"), (3, "", None), (None, "<b>x", "z"), (1, "<p>a", "z")], "page_id long, html string, text string")
     assert [(r.page_id, r.text) for r in extract(df).collect()] == [(1, "a"), (2, None), (3, ""), (None, "x"), (1, "a")]
     assert extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("section", ["<![foo[x]]>", "<![x]>", "<![ endif]>", "<![>", "<![if !IE]>", "<![CDATA[x]]>", "<![foo\nbar>"])
+def test_text_after_a_marked_section_stays(section):
+    assert text_of(f"<p>before{section}after<p>more") == "beforeafter\n\nmore"
