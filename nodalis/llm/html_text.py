@@ -28,7 +28,11 @@ from nodalis.llm.common import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
-HIDDEN = frozenset("head script style template title noembed noframes iframe object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template title noembed noframes iframe object audio video canvas datalist".split())
+#: Elements whose content is not shown inside svg or math.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+#: Elements that an open head may hold; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: Elements that stand on lines of their own, and those with a blank line around.
 BLOCK = frozenset("address article aside body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary ul blockquote h1 h2 h3 h4 h5 h6 table caption tr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre table figure hr".split())
@@ -49,7 +53,7 @@ ENDS = {
 }
 SCOPE = frozenset(["table", "td", "th", "caption", "html", "button", "object", "template"])
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
-GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+GONE = re.compile(r"(?:^|;)(?:\s|/\*.*?\*/)*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I | re.S)
 
 
 class Node:
@@ -81,7 +85,14 @@ class TreeBuilder(HTMLParser):
             if self.open[k].tag in stop:
                 return
 
+    def _leave_head(self) -> None:
+        """Ends an open head if what comes next would be its child."""
+        if self.count["head"] and (self.open[-1].tag == "head" or self.open[-1].tag == "noscript" and self.open[-2].tag == "head"):
+            self._close({"head"}, ())
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in ENDS_P:
             self._close({"p"}, SCOPE)
         if tag[:1] == "h" and tag[1:].isdigit() and self.open[-1].tag[:1] == "h" and self.open[-1].tag[1:].isdigit():
@@ -98,6 +109,11 @@ class TreeBuilder(HTMLParser):
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._push(Node("tr"))
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if self.count["svg"] or self.count["math"]:
+            if tag in UNDRAWN:
+                node.attrs["hidden"] = ""
+            elif tag == "text":
+                self.open[-1].children.append(" ")  # drawn at a place of its own
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -109,7 +125,9 @@ class TreeBuilder(HTMLParser):
         self.count[node.tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash does not end an element that is not void
+        self.handle_starttag(tag, attrs)  # a slash ends an element that is not void in svg and math only
+        if (self.count["svg"] or self.count["math"]) and self.open[-1].tag == tag:
+            self.count[self.open.pop().tag] -= 1
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -118,6 +136,8 @@ class TreeBuilder(HTMLParser):
             self.open[-1].children.append(Node("p"))
         elif tag not in VOID:
             self._close({tag}, {"td", "th", "caption"} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption", "html", "body") else {"table"} - {tag})
+            if tag == "text" and self.count["svg"]:
+                self.open[-1].children.append(" ")
 
     def parse_html_declaration(self, i):
         # a marked section is a comment up to the next >, but for character data in svg and math
@@ -130,6 +150,8 @@ class TreeBuilder(HTMLParser):
         return self.parse_bogus_comment(i)
 
     def handle_data(self, data):
+        if self.count["head"] and SPACE.sub("", data):
+            self._leave_head()
         self.open[-1].children.append(data)
 
 

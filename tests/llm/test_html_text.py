@@ -71,3 +71,20 @@ def test_rows(spark):
 @pytest.mark.parametrize("section", ["<![foo[x]]>", "<![x]>", "<![ endif]>", "<![>", "<![if !IE]>", "<![CDATA[x]]>", "<![foo\nbar>"])
 def test_text_after_a_marked_section_stays(section):
     assert text_of(f"<p>before{section}after<p>more") == "beforeafter\n\nmore"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>t</title>bare <b>bold</b>", "bare bold"),
+        ("<head><meta charset=utf-8><title>t</title>\n<span>a</span> <a href=x>b</a>", "a b"),
+        ("<head><style>p{}</style><script>1</script><noscript><link></noscript><template>no</template></head>x", "x"),
+        ("<b style='backface-visibility: hidden'>shown</b><i style='color:red;/* c */ visibility: hidden'>not</i><u style=' display:none'>not</u>", "shown"),
+        ("a<svg><title>t</title><defs><text>no</text></defs><path d=''/><text>one</text><text>two</text></svg>b", "a one two b"),
+        ("<svg><defs/><text><![CDATA[a>b]]></text></svg>", "a>b"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("<desc>html</desc>", "html"),
+    ],
+)
+def test_all_that_browsers_show(html, text):
+    assert text_of(html) == text
