@@ -5,13 +5,15 @@ Base entities (email, ip, card, phone) come from regular expressions with
 positions in code points: splitting a text at a pattern gives the gaps between
 its matches, so positions are running sums of lengths.
 
-Contextual extraction finds identifiers that no pattern describes.  Every token
-with a digit is an instance in two lexical patterns: the two words before it,
-and the word before with the word after.  Base entities seed the instances'
-confidence; then, ROUNDS times, a pattern's confidence is the mean of its
-distinct instances' (at least SUPPORT of them seeds), and an instance's the
-noisy-or over its patterns of LEAST or more.  Tokens of patterns with LEAST or
-more in the end are spans of kind ``id`` unless they overlap a base span.
+Contextual extraction finds identifiers that no pattern describes.  Every base
+span is an instance, a seed, and so is every other token with a digit; each is
+in two lexical patterns: the two words before it, and the word before with the
+word after (words of any kind, without what is glued to a span).  ROUNDS times,
+a pattern's confidence is the mean of its distinct instances', and an
+instance's the noisy-or over its patterns of LEAST or more that have at least
+SUPPORT instances of LEAST or more, base spans or found.  Tokens of such
+patterns in the end are spans of kind ``id``.  An identifier is a token with a
+digit, of TOKEN_CHARS at least, that overlaps no base span.
 
 Scale: one scan makes a slim table of spans and instances (checkpointed in the
 shared folder); the graph's edges are distinct (pattern, instance) hashes, every
@@ -49,24 +51,37 @@ TOKEN_CHARS = 6
 CONTEXT_CHARS = 64
 
 
-NONE = "cast(array() as array<struct<s:bigint,e:bigint,m:string>>)"
+NONE = "cast(array() as array<struct<s:bigint,e:bigint,m:string,l:string,r:string>>)"
+#: Spaces, and a word's share glued to a span's start or end.
+BLANK, GLUED = r"\s+", (r"\S++$", r"^\S++")
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(text: str, pattern: str) -> str:
-    """SQL for array<struct<s,e,m>>: start, end and match of each match.  Gap i
-    stands before match i; the last gap meets no match."""
-    p = _quoted(pattern)
+def _matches(text: str, pattern: str) -> str:
+    """SQL for array<struct<s,e,m,l,r>>: start, end, match, and CONTEXT_CHARS
+    before and after of each match.  Gap i stands before match i; the last gap
+    meets no match."""
+    p, c = _quoted(pattern), CONTEXT_CHARS
     return f"""
-    aggregate(
-      zip_with(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1), (m, g) -> named_struct('m', m, 'g', g)),
-      named_struct('at', cast(0 as bigint), 'out', {NONE}),
+    transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))), z -> aggregate(
+      zip_with(z.m, zip_with(z.g, zip_with(slice(z.g, 2, size(z.g)), slice(z.m, 2, size(z.m)), (g, m) -> named_struct('g', g, 'm', m)), (g, n) -> named_struct('g', g, 'n', n)), (m, y) -> named_struct('m', m, 'g', y.g, 'n', y.n)),
+      named_struct('at', cast(0 as bigint), 'tail', '', 'out', {NONE}),
       (a, x) -> if(x.m is null, a, named_struct('at', a.at + length(x.g) + length(x.m),
-        'out', array_append(a.out, named_struct('s', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.m), 'm', x.m)))),
-      a -> a.out)"""
+        'tail', right(concat(a.tail, right(x.g, {c}), right(x.m, {c})), {c}),
+        'out', array_append(a.out, named_struct('s', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.m), 'm', x.m,
+          'l', right(concat(a.tail, right(x.g, {c})), {c}), 'r', left(concat(left(coalesce(x.n.g, ''), {c}), left(coalesce(x.n.m, ''), {c})), {c}))))),
+      a -> a.out))[0]"""
+
+
+def _context(x: str) -> str:
+    """SQL for the fields l and r of struct ``x``: the last two words before, the
+    last first, and the word after ('' for none)."""
+    blank, before, after = _quoted(BLANK), *map(_quoted, GLUED)
+    return f"""'l', slice(reverse(filter(split(lower(regexp_replace({x}.l, {before}, '')), {blank}), w -> w <> '')), 1, 2),
+      'r', coalesce(get(filter(split(lower(regexp_replace({x}.r, {after}, '')), {blank}), w -> w <> ''), 0), '')"""
 
 
 LUHN = """(
@@ -76,70 +91,66 @@ LUHN = """(
 
 
 def base_spans(text: str = "_t") -> dict[str, Column]:
-    """Array columns of each kind's spans (s, e, m)."""
+    """Array columns of each kind's spans (s, e, m, l, r)."""
     keep = {
         "email": (f"instr({text}, '@') > 0", EMAIL, "true"),
         "ip": (f"instr({text}, '.') > 0", IP, "forall(split(x.m, '\\\\.'), p -> cast(p as double) <= 255)"),
         "card": ("true", CARD, LUHN),
         "phone": (f"instr({text}, '+') > 0", PHONE, "length(regexp_replace(x.m, '[^0-9]', '')) between 10 and 15"),
     }
-    return {k: F.expr(f"case when {cond} then filter({_spans(text, pat)}, x -> {test}) else {NONE} end") for k, (cond, pat, test) in keep.items()}
+    return {k: F.expr(f"case when {cond} then filter({_matches(text, pat)}, x -> {test}) else {NONE} end") for k, (cond, pat, test) in keep.items()}
 
 
 def instances(text: str = "_t") -> Column:
-    """Array of struct(s, e, v, before, around): tokens with a digit, their value
-    and two contexts as hashes."""
-    p = _quoted(TOKEN)
+    """Array of struct(s, m, l, r): tokens with a digit, their place, and the
+    words before and after."""
     trim = _quoted(r"^[^\p{L}\p{N}]+"), _quoted(r"[^\p{L}\p{N}]+$")
-    space = _quoted(r"\s+")
-    found = "array<struct<s:bigint,m:string,l:array<string>,r:string>>"
     return F.expr(f"""
     filter(
-      transform(
-        transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))), z -> aggregate(
-          zip_with(z.m, zip_with(z.g, slice(z.g, 2, size(z.g)), (g, n) -> named_struct('g', g, 'n', n)), (m, y) -> named_struct('m', m, 'g', y.g, 'n', y.n)),
-          named_struct('at', cast(0 as bigint), 'out', cast(array() as {found})),
-          (a, x) -> if(x.m is null, a, named_struct('at', a.at + length(x.g) + length(x.m),
-            'out', array_append(a.out, named_struct('s', a.at + length(x.g), 'm', x.m,
-              'l', slice(reverse(filter(split(lower(right(x.g, {CONTEXT_CHARS})), {space}), w -> w <> '')), 1, 2),
-              'r', coalesce(get(filter(split(lower(left(x.n, {CONTEXT_CHARS})), {space}), w -> w <> ''), 0), ''))))),
-          a -> a.out))[0],
+      transform({_matches(text, TOKEN)},
         x -> named_struct(
           's', x.s + length(x.m) - length(regexp_replace(x.m, {trim[0]}, '')),
           'm', regexp_replace(regexp_replace(x.m, {trim[0]}, ''), {trim[1]}, ''),
-          'l', x.l, 'r', x.r)),
+          {_context("x")})),
       x -> length(x.m) >= {TOKEN_CHARS} and size(x.l) > 0)""")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, h, base, tokens): the slim table; one row for each of ``df``."""
+    """(key, h, base, seeds, tokens): the slim table; one row for each of ``df``."""
     src = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     found = src.select("_k", F.xxhash64("_t").alias("h"), *[c.alias(k) for k, c in base_spans().items()], instances().alias("tokens"))
     tagged = F.concat(*[F.expr(f"transform({k}, x -> named_struct('s', x.s, 'k', {i}, 'e', x.e))") for i, k in enumerate(KINDS)])
-    return found.select("_k", "h", F.array_sort(tagged).alias("base"), "tokens")
+    seeds = F.expr(f"filter(transform(concat({', '.join(KINDS)}), x -> named_struct('m', x.m, {_context('x')})), x -> size(x.l) > 0)")
+    return found.select("_k", "h", F.array_sort(tagged).alias("base"), seeds.alias("seeds"), "tokens")
+
+
+def _patterns(x: str):
+    """The two patterns of an instance, as hashes."""
+    return F.explode(F.array(F.xxhash64(F.lit("two"), F.element_at(f"{x}.l", 1), F.try_element_at(f"{x}.l", F.lit(2))), F.xxhash64(F.lit("around"), F.element_at(f"{x}.l", 1), F.col(f"{x}.r")))).alias("p")
 
 
 def _edges(slim: DataFrame) -> DataFrame:
-    """One row for each token and pattern: (_k, h, p, v, s, e, seed, free)."""
-    t = slim.select("_k", "h", "base", F.explode("tokens").alias("t"))
-    t = t.select(
-        "_k", "h", F.col("t.s").alias("s"), (F.col("t.s") + F.length("t.m")).alias("e"), F.xxhash64("t.m").alias("v"),
-        F.exists("base", lambda b: (b.s < F.col("t.s") + F.length("t.m")) & (b.e > F.col("t.s"))).alias("seed"),
-        F.array(F.xxhash64(F.lit("two"), F.element_at("t.l", 1), F.try_element_at("t.l", F.lit(2))), F.xxhash64(F.lit("around"), F.element_at("t.l", 1), F.col("t.r"))).alias("ps"),
-    )
-    return t.select("_k", "h", "s", "e", "v", "seed", F.explode("ps").alias("p"))
+    """One row for each instance and pattern: (_k, h, p, v, s, e, seed); base
+    spans, whose s and e are null, are the seeds, and tokens that overlap one
+    are left to it."""
+    t = slim.select("_k", "h", "base", F.explode("tokens").alias("t")).where(~F.exists("base", lambda b: (b.s < F.col("t.s") + F.length("t.m")) & (b.e > F.col("t.s"))))
+    t = t.select("_k", "h", F.col("t.s").alias("s"), (F.col("t.s") + F.length("t.m")).alias("e"), F.xxhash64("t.m").alias("v"), F.lit(False).alias("seed"), _patterns("t"))
+    b = slim.select("_k", "h", F.explode("seeds").alias("b"))
+    none = F.lit(None).cast("bigint")
+    return t.unionByName(b.select("_k", "h", none.alias("s"), none.alias("e"), F.xxhash64("b.m").alias("v"), F.lit(True).alias("seed"), _patterns("b")))
 
 
 def learn_patterns(edges: DataFrame) -> DataFrame:
     """(p): hashes of the high-confidence patterns."""
     pairs = edges.groupBy("p", "v").agg(F.max(F.col("seed").cast("int")).alias("seed"))
-    # a pattern without enough seeds never gains confidence: only the others' edges go on
-    strong = pairs.groupBy("p").agg(F.sum("seed").alias("n")).where(F.col("n") >= SUPPORT).select("p")
-    pairs = cut(pairs.join(strong, "p"))
-    conf = pairs.select("v", F.col("seed").cast("double").alias("c")).distinct()
+    # a pattern of fewer instances never has the support: only the others' edges go on
+    enough = pairs.groupBy("p").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("p")
+    pairs = cut(pairs.join(enough, "p"))
+    conf = cut(pairs.groupBy("v").agg(F.max("seed").cast("double").alias("c")))
     out = None
     for step in range(ROUNDS):
-        out = pairs.join(conf, "v").groupBy("p").agg(F.avg("c").alias("c")).where(F.col("c") >= LEAST)
+        sure = F.sum((F.col("c") >= LEAST).cast("int"))
+        out = pairs.join(conf, "v").groupBy("p").agg(F.avg("c").alias("c"), sure.alias("n")).where((F.col("c") >= LEAST) & (F.col("n") >= SUPPORT)).select("p", "c")
         if step + 1 < ROUNDS:
             lift = pairs.join(out.withColumnRenamed("c", "w"), "p", "left")
             miss = F.sum(F.log(1 - F.least(F.coalesce("w", F.lit(0.0)), F.lit(1 - 1e-9))))

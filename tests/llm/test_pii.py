@@ -83,3 +83,27 @@ def test_main_path_has_no_python(spark):
     df.write.mode("overwrite").parquet("/tmp/nodalis_pii_plan.parquet")
     plan = pii.scan(spark.read.parquet("/tmp/nodalis_pii_plan.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {texts[x.doc_id][s.s : s.e] for x in pii.find(df).collect() for s in x.spans if s.k == 4}
+
+
+def test_base_spans_of_several_tokens_or_no_digit_teach(spark):
+    phones = [f"+1 (743) 555-{i:04}" for i in range(12)]
+    cards = [c for c in (f"4111 1111 1111 {i:04}" for i in range(200)) if luhn(c.replace(" ", ""))][:12]
+    for base in (phones, cards):
+        assert found(spark, [f"please ring desk {b} now" for b in base] + ["so ring desk AB-99812 now"]) == {"AB-99812"}
+    assert found(spark, [f"their client mail {c}@mail.example then more" for c in "abcdefghijkl"] + ["client mail AB-99812 too"]) == {"AB-99812"}
+
+
+def test_an_identifier_after_a_digit_token_is_found(spark):
+    assert found(spark, [f"in room 12 u{i}@mail.example sits" for i in range(12)] + ["go to room 12 AB-99812 now"]) == {"AB-99812"}
+
+
+def test_found_instances_support_new_patterns(spark):
+    base = [f"their client mail u{i}@mail.example then" for i in range(40)]
+    ids = [f"XK-{i:05}" for i in range(6)]
+    texts = base + [f"a client mail {v} then" for v in ids] + [f"the badge number {v} here" for v in ids] + ["a badge number QQ-77777 here", "other word 123456 here"]
+    assert found(spark, texts) == {*ids, "QQ-77777"}
