@@ -420,8 +420,10 @@ def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFra
     reachable."""
     fps = cut(fps)
     codes = cut(fps.groupBy("fp").agg(F.min(key).alias("id")))
-    found = components(link(codes.where("id is not null"), exact_masks(radius), radius))
-    reps = codes.join(found, codes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
+    # fingerprints are the nodes, so that rows without a key link others and rows of one key stay apart
+    found = components(link(codes.select(F.col("fp").alias("id"), "fp"), exact_masks(radius), radius))
+    reps = cut(codes.join(found, codes.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("root")))
+    reps = reps.join(reps.groupBy("root").agg(F.min("id").alias("component")), "root").select("fp", "component")
     return fps.join(reps, "fp").select(key, "fp", "component")
 
 

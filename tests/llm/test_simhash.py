@@ -190,3 +190,12 @@ def test_a_refused_pair_hides_no_other(spark):
             near += 1
     got = {(x.doc_id, x.component) for x in S.near_copies(spark.createDataFrame(made, TEXT)).collect()}
     assert got == {(3 * i + j, 3 * i) for i in range(near) for j in (1, 2)}
+
+
+def test_null_and_repeated_ids_do_not_change_the_links(spark):
+    rows = [(1, 0b111), (9, 0b111111111), (None, 0b111111), (7, 0xFF << 40), (None, 0xFE << 40), (5, 0xFF << 20), (5, 0xFFFF << 48), (None, 0xFFFFFF << 8)]
+    got = {(x.doc_id, x.fp & (2**64 - 1)): x.component for x in S.near_groups(spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "doc_id long, fp long")).collect()}
+    assert [got[r] for r in rows] == [1, 1, 1, 7, 7, 5, 5, None]
+    rows = [(5, 0xFF << 20), (5, 0xFF << 50), (6, 0x7F << 20), (3, 0x7F << 50)]
+    got = {(x.doc_id, x.fp): x.component for x in S.near_groups(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    assert [got[r] for r in rows] == [5, 3, 5, 3]
