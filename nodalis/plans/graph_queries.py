@@ -34,15 +34,15 @@ def r6(c) -> Column:
 
 TRADE = """
 g AS (SELECT CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INTEGER) AS t, CAST(c_nationkey AS INTEGER) AS node,
-             sum(o_totalprice) / 1e6 AS x, CAST(count(*) AS DOUBLE) AS c
+             CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS cents, CAST(count(*) AS DOUBLE) AS c
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-snap AS (SELECT s.t, CAST(n.n_nationkey AS INTEGER) AS node, coalesce(g.x, 0.0) AS x, coalesce(g.c, 0.0) AS c
+snap AS (SELECT s.t, CAST(n.n_nationkey AS INTEGER) AS node, coalesce(g.cents, 0.0) AS cents, coalesce(g.cents, 0.0) / 1e8 AS x, coalesce(g.c, 0.0) AS c
          FROM (SELECT DISTINCT t FROM g) s CROSS JOIN nation n LEFT JOIN g ON g.t = s.t AND g.node = n.n_nationkey),
 region_edges AS (SELECT CAST(a.n_nationkey AS INTEGER) AS src, CAST(b.n_nationkey AS INTEGER) AS dst, 1.0 AS w
                  FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
 rdeg AS (SELECT src AS node, sum(w) AS deg FROM region_edges GROUP BY 1),
 ahat AS (SELECT e.src, e.dst, e.w / sqrt(a.deg) / sqrt(b.deg) AS w FROM region_edges e JOIN rdeg a ON a.node = e.src JOIN rdeg b ON b.node = e.dst),
-nbr AS (SELECT s.t, e.src AS node, sum(e.w * s.x) AS x, sum(e.w * s.c) AS c FROM snap s JOIN ahat e ON e.dst = s.node GROUP BY 1, 2)
+nbr AS (SELECT s.t, e.src AS node, sum(e.w * s.cents) AS cents, sum(e.w * s.x) AS x, sum(e.w * s.c) AS c FROM snap s JOIN ahat e ON e.dst = s.node GROUP BY 1, 2)
 """
 
 FLOWS = """
@@ -143,15 +143,17 @@ def diffusion_supports(spark, d):
     return topology.diffusion_supports(e, n, 2).select("support", "src", "dst", r6("w").alias("w"))
 
 
-@query(f"WITH {TRADE} SELECT s.t, s.node, round(s.x - coalesce(n.x, 0.0), 6) AS lx, round(s.c - coalesce(n.c, 0.0), 6) AS lc FROM snap s LEFT JOIN nbr n ON n.t = s.t AND n.node = s.node")
+@query(f"WITH {TRADE} SELECT s.t, s.node, (s.cents - coalesce(n.cents, 0.0)) / 1e8 AS lx, s.c - coalesce(n.c, 0.0) AS lc FROM snap s LEFT JOIN nbr n ON n.t = s.t AND n.node = s.node")
 def laplacian_features(spark, d):
-    return _first(topology.laplacian(tables.trade(spark, d)), "lx", "lc")
+    # weights are quarters and features whole cents, so sums are exact in any order; one division at the end
+    out = topology.laplacian(tables.trade(spark, d, unit=1.0))
+    return out.select("t", "node", (F.col("f")[0] / 1e8).alias("lx"), F.col("f")[1].alias("lc"))
 
 
-@query(f"""WITH {TRADE}, l AS (SELECT s.t, s.node, s.x - n.x AS x FROM snap s JOIN nbr n ON n.t = s.t AND n.node = s.node)
-SELECT l.t, l.node, round(any_value(l.x) - sum(e.w * k.x), 6) AS k FROM l JOIN ahat e ON e.src = l.node JOIN l k ON k.t = l.t AND k.node = e.dst GROUP BY 1, 2""")
+@query(f"""WITH {TRADE}, l AS (SELECT s.t, s.node, s.cents - n.cents AS x FROM snap s JOIN nbr n ON n.t = s.t AND n.node = s.node)
+SELECT l.t, l.node, (any_value(l.x) - sum(e.w * k.x)) / 1e8 AS k FROM l JOIN ahat e ON e.src = l.node JOIN l k ON k.t = l.t AND k.node = e.dst GROUP BY 1, 2""")
 def curvature_features(spark, d):
-    return _first(topology.curvature(tables.trade(spark, d)), "k")
+    return topology.curvature(tables.trade(spark, d, unit=1.0)).select("t", "node", (F.col("f")[0] / 1e8).alias("k"))
 
 
 @query(f"""WITH {TRADE} SELECT a.t, a.node, round(sqrt(greatest(0.0, sum(e.w * pow(b.x - a.x, 2)))), 6) AS gx, round(sqrt(greatest(0.0, sum(e.w * pow(b.c - a.c, 2)))), 6) AS gc
@@ -346,25 +348,25 @@ def forward_consistency(spark, d):
     return metrics.pair_loss(tables.trade(spark, d), lambda x: V.matvec([[0.9, 0.0], [0.0, 0.9]], x)).select(r6("loss").alias("loss"))
 
 
-MEMBERS = "m AS (SELECT a.t, a.node, b.x AS v FROM snap a JOIN snap b ON b.node = a.node AND b.t BETWEEN a.t - 6 AND a.t - 1 WHERE a.t >= 6), i AS (SELECT t, node, avg(v) AS mean, quantile_cont(v, 0.1) AS lower, quantile_cont(v, 0.9) AS upper FROM m GROUP BY 1, 2)"
+MEMBERS = "m AS (SELECT a.t, a.node, b.cents AS v FROM snap a JOIN snap b ON b.node = a.node AND b.t BETWEEN a.t - 6 AND a.t - 1 WHERE a.t >= 6), i AS (SELECT t, node, avg(v) AS mean, quantile_cont(v, 0.1) AS lower, quantile_cont(v, 0.9) AS upper FROM m GROUP BY 1, 2)"
 
 
 def _members(spark, d) -> tuple[Frames, DataFrame]:
-    """Six members for each step: the values of the six steps before."""
-    f = tables.trade(spark, d)
+    """Six members for each step: the values of the six steps before, in cents."""
+    f = tables.trade(spark, d, unit=1.0)
     back = f.snap.select("traj", F.explode(F.sequence(F.col("t") + 1, F.col("t") + 6)).alias("t"), "node", (F.col("f")[0]).alias("v"))
     steps = f.snap.select("traj", "t").distinct().where("t >= 6")
     return f, back.join(steps, ["traj", "t"])
 
 
-@query(f"WITH {TRADE}, {MEMBERS} SELECT t, node, round(mean, 6) AS mean, round(lower, 6) AS lower, round(upper, 6) AS upper FROM i")
+@query(f"WITH {TRADE}, {MEMBERS} SELECT t, node, round(mean, 3) / 1e8 AS mean, round(lower, 3) / 1e8 AS lower, round(upper, 3) / 1e8 AS upper FROM i")
 def ensemble_interval(spark, d):
     from nodalis.operators.uncertainty import member_interval
 
-    return member_interval(_members(spark, d)[1], ["t", "node"], "v", 0.8).select("t", "node", *[r6(c).alias(c) for c in ("mean", "lower", "upper")])
+    return member_interval(_members(spark, d)[1], ["t", "node"], "v", 0.8).select("t", "node", *[(F.round(c, 3) / 1e8).alias(c) for c in ("mean", "lower", "upper")])
 
 
-@query(f"WITH {TRADE}, {MEMBERS} SELECT round(avg(CAST(s.x BETWEEN i.lower AND i.upper AS DOUBLE)), 6) AS coverage FROM i JOIN snap s ON s.t = i.t AND s.node = i.node")
+@query(f"WITH {TRADE}, {MEMBERS} SELECT round(avg(CAST(s.cents BETWEEN i.lower AND i.upper AS DOUBLE)), 6) AS coverage FROM i JOIN snap s ON s.t = i.t AND s.node = i.node")
 def interval_coverage(spark, d):
     from nodalis.operators.uncertainty import member_interval
 

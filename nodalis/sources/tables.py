@@ -24,15 +24,16 @@ def _static(edges: DataFrame) -> DataFrame:
     return edges.select(F.lit(0).alias("traj"), F.lit(None).cast("int").alias("t"), F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("w").cast("double").alias("w"))
 
 
-def trade(spark: SparkSession, sf_dir: str) -> Frames:
-    """Nations by month: order value in millions and order count of a nation's
-    customers; edges join the nations of a region.  The 25 nations are counted
-    after orders are summed by customer nation and month, so one shuffle of
-    partial sums is all that grows with orders."""
+def trade(spark: SparkSession, sf_dir: str, unit: float = 1e8) -> Frames:
+    """Nations by month: order value in units of ``unit`` cents (millions) and
+    order count of a nation's customers; edges join the nations of a region.
+    Values are summed in whole cents, so any order of the rows gives the same
+    number.  The 25 nations are counted after orders are summed by customer
+    nation and month, so one shuffle of partial sums is all that grows with orders."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("t"))
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("node"))
     # every later plan reads these sums (nations x months), not orders again
-    v = kept(o.join(c, "o_custkey").groupBy("t", "node").agg((F.sum("o_totalprice") / 1e6).alias("x"), F.count("*").alias("c")))
+    v = kept(o.join(c, "o_custkey").groupBy("t", "node").agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.lit(unit)).alias("x"), F.count("*").alias("c")))
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("r"))
     steps = v.select("t").distinct()
     e = n.select(F.col("node").alias("src"), "r").join(n.select(F.col("node").alias("dst"), "r"), "r").where("src <> dst").withColumn("w", F.lit(1.0))
