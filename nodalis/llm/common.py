@@ -63,6 +63,25 @@ def if_small(df: DataFrame, size=None) -> DataFrame:
     return F.broadcast(df) if n <= SMALL else df
 
 
+#: Rows of one key that a join leaves in one task, and keys with more that are broadcast at most.
+HOT_ROWS = 20_000
+HOT_KEYS = 100_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` for a checkpointed ``left`` in which one key
+    may have any share of the rows and a ``right`` of one row a key: rows of hot
+    keys are cut into chunks of HOT_ROWS that meet a copy of right's row each."""
+    hot = cut(left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(on, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_chunks")))
+    n = hot.count()
+    if not n:
+        return left.join(right, on, how)
+    hot = F.broadcast(hot) if n <= HOT_KEYS else hot
+    a = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_chunks", F.lit(1))).cast("int"))
+    b = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)))
+    return a.drop("_chunks").join(b.drop("_chunks"), [on, "_salt"], how).drop("_salt")
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32(doc_id as text) mod 5 is 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % HOLD_OUT_MOD == 0

@@ -107,3 +107,78 @@ def test_found_instances_support_new_patterns(spark):
     ids = [f"XK-{i:05}" for i in range(6)]
     texts = base + [f"a client mail {v} then" for v in ids] + [f"the badge number {v} here" for v in ids] + ["a badge number QQ-77777 here", "other word 123456 here"]
     assert found(spark, texts) == {*ids, "QQ-77777"}
+
+
+def brute_ids(texts):
+    """Spans of kind id by the docstring's rules, in plain Python."""
+    edges = []  # (text number, start, end, instance, seed, patterns)
+
+    def context(text, s, e):
+        left = re.sub(r"\S+$", "", text[max(0, s - pii.CONTEXT_CHARS) : s])
+        right = re.sub(r"^\S+", "", text[e : e + pii.CONTEXT_CHARS])
+        left, right = ([re.sub("[0-9]", "0", w.lower()) for w in x.split()] for x in (left, right))
+        one, two, after = (left[-1:] or [""])[0], (left[-2:-1] or [""])[0], (right[:1] or [""])[0]
+        return (("before", one), ("two", one, two), ("around", one, after))
+
+    for n, text in enumerate(texts):
+        base = brute(text)
+        edges += [(n, s, e, text[s:e], True, context(text, s, e)) for s, _, e in base]
+        for m in re.finditer(r"\S*[0-9@_]\S*", text):
+            s, e = m.start(), m.end()
+            a, b = s, e
+            while a < b and not text[a].isalnum():
+                a += 1
+            while b > a and not text[b - 1].isalnum():
+                b -= 1
+            if b - a >= pii.TOKEN_CHARS and not any(x < b and y > a for x, _, y in base):
+                edges.append((n, a, b, text[a:b], False, context(text, s, e)))
+    seeds = {v for *_, v, seed, _ in edges if seed}
+    pairs = {(p, v) for *_, v, _, ps in edges for p in ps}
+    conf = {v: float(v in seeds) for _, v in pairs}
+    for step in range(pii.ROUNDS):
+        of = {}
+        for p, v in pairs:
+            of.setdefault(p, []).append(conf[v])
+        sure = {p: sum(c) / len(c) for p, c in of.items() if sum(c) / len(c) >= pii.LEAST and sum(x >= pii.LEAST for x in c) >= pii.SUPPORT}
+        miss = dict.fromkeys(conf, 1.0)
+        for p, v in pairs:
+            miss[v] *= 1 - min(sure.get(p, 0), 1 - 1e-9)
+        conf = {v: max(float(v in seeds), 1 - m) for v, m in miss.items()}
+    return {(n, s, e) for n, s, e, _, seed, ps in edges if not seed and any(p in sure for p in ps)}
+
+
+def test_bootstrapping_against_brute_force(spark):
+    r = random.Random(5)
+    some = 0
+    for words, ids in ((4, 30), (12, 60), (30, 400)):
+        vocab = [f"w{'abcdefghijklmnopqrstuvwxyzäöü'[i]}" for i in range(min(words, 29))]
+        unknown = [f"K{r.randint(0, ids):05}-{r.choice('xyz')}_" for _ in range(ids)]
+
+        def piece():
+            x = r.random()
+            return r.choice(vocab) if x < 0.8 else f"({r.choice('abcdefgh')}{r.randint(0, 50)}@m.example)" if x < 0.92 else r.choice(unknown) if x < 0.95 else r.choice(["10.0.0.7", "+1 (555) 010-1234", "12", "300.1.1.1", "4111 1111 1111 1111"])
+
+        texts = [" ".join(piece() for _ in range(r.randint(0, 25))) for _ in range(120)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        got = {(x.doc_id, s.s, s.e) for x in pii.find(df).collect() for s in x.spans if s.k == 4}
+        want = brute_ids(texts)
+        assert got == want
+        some += len(want)
+    assert some > 20
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"ab{i}xyz c +1 555 010 {1000 + i % 9000}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    got = {x["_k"]: x for x in pii.scan(df).collect()}
+    assert [(b.s, b.k, b.e) for b in got[1].base] == brute(text) and len(got[1].tokens) == 20_000
+    out = {x.doc_id: x.text for x in pii.redact(df).collect()}
+    assert out[1] == re.sub(r"\+1 555 010 [0-9]+", "[PHONE]", text)
+
+
+def test_redaction_with_any_column_names(spark):
+    names = ["_k", "_h", "_s", "_t", "f", "row", "t", "k", "h", "spans", "base"]
+    df = spark.createDataFrame([(1, "to a@b.cc", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert got.first() == (1, "to [EMAIL]", *names)
