@@ -1,28 +1,33 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by its PREFIX nearest pivots in order.  It is posted
-in the inverted files of its POSTED first ones; a query reads the files of its
-PROBED first ones, ranks what it meets by the footrule distance of the two
-orders (a pivot missing from one counts as standing just behind its end), and
-reranks the better KEEP share of each file by the exact inner product in double
-precision.
+Every vector is represented by its PREFIX nearest pivots in order and posted, with
+its place in that order, in their inverted files.  A query reads the files of its
+own PREFIX nearest pivots; the postings add up to the footrule distance of the two
+orders (a pivot missing from one stands just behind its end).  The better KEEP
+share of a chunk by footrule, and LEAST k at least, is reranked by the exact inner product.
+
+With pos and j the places of a shared pivot in row and query, the footrule
+distance is PREFIX (PREFIX + 1) less twice the sum of PREFIX - max(pos, j), so one
+running sum over the files ranks all rows of a chunk.
 
 Largest inner product becomes nearest neighbour by one more coordinate that
 gives all index vectors the same length; queries have 0 there.
 
-Pivots come from a bounded sample (SAMPLE rows by hash of the id, distinct
-vectors only); every row is posted.  A file is dealt over tasks as a grid of
-chunks of its postings and chunks of its queries, sized from counts by pivot, so
-that one very common vector makes more tasks, not a longer one.  The only things
-broadcast are the pivots.
-
-Recall on vectors without any structure (independent directions, 64 dimensions)
-takes reading about half of the rows for 0.9; structured data needs less.
-
-Vectors that are null, zero, hold a null or non-finite component or differ from
-the most common length take no part, nor do rows without an id.  Repeated rows
-of an id count once.  Fewer than k candidates give as many rows as there are; an
-empty table gives an empty one.
+Layout: rows are dealt by id into chunks of about CHUNK, queries into blocks of
+about QUERIES, and each chunk meets each block in a task that has the chunk's
+files; a file is never longer than its chunk, and a very common vector is spread
+like any other.  Equal vectors of a chunk are ranked once.  Only the pivots (of
+a bounded sample, SAMPLE rows by hash of the id, those furthest apart) are
+broadcast; every row is posted.
+
+Scores are summed in one fixed order of the components, so equal vectors have
+equal scores wherever they lie and ties go to the smaller id.
+
+Vectors that are null, zero or hold a null or non-finite component take no part,
+nor do rows without an id.  An inner product needs equal lengths: each length is
+a search of its own, with one job a length.  Repeated rows of an id count once
+(its best score).  Fewer than k candidates give as many rows as there are; an
+empty table gives an empty one.  Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,13 +39,14 @@ from pyspark.sql import functions as F
 
 from nodalis.llm.common import cut, table
 
+#: Pivot numbers are bytes; two places of a prefix add up within a byte.
 PIVOTS = 256
 SAMPLE = 4096
-PREFIX = 24
-POSTED = 10
-PROBED = 24
-KEEP = 0.75
+PREFIX = 120
+KEEP = 0.05
+LEAST = 16
 CHUNK = 8192
+QUERIES = 8192
 
 
 def usable(vec: str) -> Column:
@@ -51,13 +57,14 @@ def usable(vec: str) -> Column:
 
 def _matrix(col: pa.Array, dtype) -> np.ndarray:
     """Rows of binary vectors."""
-    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), -1).astype(np.float64)
+    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), -1)
 
 
 class Pivots:
     def __init__(self, points: np.ndarray, longest: float):
         self.longest = longest
         self.points = np.c_[points, self._rest(points)]
+        self.prefix = min(PREFIX, len(points))
 
     def _rest(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, self.longest**2 - (x * x).sum(1)))
@@ -65,32 +72,104 @@ class Pivots:
     def order(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Numbers of the nearest pivots, nearest first."""
         near = np.c_[x, np.zeros(len(x)) if query else self._rest(x)] @ self.points.T
-        return np.argsort(-near, axis=1, kind="stable")[:, :PREFIX].astype(np.int16)
-
-
-def footrule(index: np.ndarray, query: np.ndarray, pivots: int) -> np.ndarray:
-    """Footrule distances of one query's order to the orders of index rows,
-    from the inverted positions ``index`` (pivots x rows)."""
-    m = len(query)
-    at = index[query].astype(np.int16)
-    return np.abs(at - np.arange(m, dtype=np.int16)[:, None]).sum(0) + m * (m + 1) // 2 - (m - at).sum(0)
-
-
-def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec: str = "embedding", pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, keep: float = KEEP) -> DataFrame:
+        return np.argsort(-near, axis=1, kind="stable")[:, : self.prefix].astype(np.uint8)
+
+
+def spread(points: np.ndarray, longest: float, n: int) -> np.ndarray:
+    """Up to ``n`` of the points, each the furthest from those before, so that a
+    group of vectors close together, however large, gives few pivots."""
+    all_ = Pivots(points, longest).points
+    chosen, near = [0], all_ @ all_[0]
+    while len(chosen) < min(n, len(points)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, all_ @ all_[chosen[-1]])
+    return points[list(dict.fromkeys(chosen))]
+
+
+class Files:
+    """The pivots' inverted files of a chunk: row p has the place of pivot p in
+    each row's order, its length for rows that are not posted there."""
+
+    def __init__(self, orders: np.ndarray, pivots: int):
+        n, self.prefix = orders.shape
+        self.places = np.full((pivots, n), self.prefix, np.uint8)
+        at = np.arange(n)
+        for i in range(self.prefix):
+            self.places[orders[:, i], at] = i
+
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """Footrule distances of a query's order to those of all rows."""
+        m = self.prefix
+        late = np.maximum(self.places[order], np.arange(m, dtype=np.uint8)[:, None])
+        if m % 2:
+            late = np.concatenate([late, np.zeros((1, late.shape[1]), np.uint8)])
+        late = late[0::2] + late[1::2]
+        return m * (m + 1) - 2 * (m * m - late.sum(0, dtype=np.uint16).astype(np.int64))
+
+    def nearest(self, order: np.ndarray, most: int) -> np.ndarray:
+        """Numbers of the ``most`` rows of least footrule, ties to the first."""
+        n = self.places.shape[1]
+        if most >= n:
+            return np.arange(n)
+        return np.argpartition(self.footrule(order) * n + np.arange(n), most - 1)[:most]
+
+
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, each row summed in the same order."""
+    return (x * q).sum(1)
+
+
+def rerank(ids: np.ndarray, x: np.ndarray, orders: np.ndarray, pivots: int, queries, k: int, keep: float):
+    """(query number, ids, scores) of the ``k`` nearest found for each query
+    (id, vector, order) among the rows of a chunk."""
+    by = np.argsort(ids, kind="stable")
+    ids, x, orders = ids[by], x[by], orders[by]
+    _, first, copy = np.unique(x.view(f"V{x.dtype.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    rank = np.argsort(np.argsort(first))  # distinct vectors in order of their smallest id
+    first, copy = np.sort(first), rank[copy]
+    # rows of each distinct vector, the smallest ids first
+    rows = np.argsort(copy, kind="stable")
+    starts = np.searchsorted(copy[rows], np.arange(len(first) + 1))
+    files, wide = Files(orders[first], pivots), x[first].astype(np.float64)
+    most = max(LEAST * k + 1, int(np.ceil(keep * len(first))))
+    for number, (qid, q, order) in enumerate(queries):
+        at = files.nearest(order, most)
+        s = inner(wide[at], q)
+        if len(at) > k + 1:  # the query's own vector may be among them
+            edge = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+            at, s = at[s >= edge], s[s >= edge]
+        size = np.minimum(starts[at + 1] - starts[at], k + 1)
+        own = rows[np.repeat(starts[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        s = np.repeat(s, size)
+        own, s = own[ids[own] != qid], s[ids[own] != qid]
+        best = np.lexsort((ids[own], -s))[:k]
+        yield number, ids[own][best], s[best]
+
+
+def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec: str = "embedding", pivots: int = PIVOTS, keep: float = KEEP) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query row's ``k`` nearest found."""
     spark = df.sparkSession
     single = df.schema[vec].dataType.elementType.simpleString() == "float"
-    dtype = np.dtype("<f4" if single else "<f8")
-    src = df.select(F.col(key).cast("long").alias("id"), is_query.alias("q"), F.col(vec).cast("array<float>" if single else "array<double>").alias("v")).where(F.col("id").isNotNull()).where(usable("v"))
-    sizes = src.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("l")).orderBy(F.desc("n"), "d").first()
-    out = "query_id long, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    src = src.where(F.size("v") == sizes.d)
-    some = src.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).toArrow().column("v").to_pylist()
-    points = np.array(list(dict.fromkeys(map(tuple, some)))[: max(1, min(pivots, sizes.n // 16))], np.float64)
+    src = df.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("q"), F.col(vec).cast("array<float>" if single else "array<double>").alias("v"))
+    src = cut(src.where(F.col("id").isNotNull()).where(usable("v")).distinct())
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    sizes = src.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("nq"), F.max(square).alias("l")).orderBy("d").collect()  # a row for each length
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for s in sizes:
+        if s.nq:
+            found = found.unionByName(_found(src.where(F.size("v") == s.d), s.n, s.nq, float(s.l) ** 0.5, np.dtype("<f4" if single else "<f8"), k, pivots, keep))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(src: DataFrame, n: int, n_queries: int, longest: float, dtype, k: int, pivots: int, keep: float) -> DataFrame:
+    """(query_id, vec_id, score) for vectors of one length: the nearest of each
+    chunk."""
+    some = src.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id", "v").limit(SAMPLE).toArrow().column("v").to_pylist()
+    points = spread(np.array(list(dict.fromkeys(map(tuple, some))), np.float64), longest, max(1, min(pivots, PIVOTS, n // 4)))
     n_piv = len(points)
-    model = spark.sparkContext.broadcast(Pivots(points, float(sizes.l) ** 0.5))
+    model = src.sparkSession.sparkContext.broadcast(Pivots(points, longest))
 
     def assign(batches):
         piv = model.value
@@ -98,63 +177,34 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", ve
             if not b.num_rows:
                 continue
             x = np.asarray(b.column("v").flatten(), dtype).reshape(b.num_rows, -1)
-            wide = x.astype(np.float64)
-            raw = [r.tobytes() for r in x]
-            perm = [r.tobytes() for r in piv.order(wide, False)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([False] * len(raw)), pa.array(raw, pa.binary()), pa.array(perm, pa.binary())], names=["id", "q", "v", "perm"])
-            at = np.flatnonzero(np.asarray(b.column("q").fill_null(False)))
-            if len(at):
-                perm = [r.tobytes() for r in piv.order(wide[at], True)]
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array([True] * len(at)), pa.array([raw[i] for i in at], pa.binary()), pa.array(perm, pa.binary())], names=["id", "q", "v", "perm"])
+            raw, wide = [r.tobytes() for r in x], x.astype(np.float64)
+            q = np.asarray(b.column("q"))
+            for kind, at in ((False, np.arange(len(x))), (True, np.flatnonzero(q))):
+                if len(at):
+                    orders = [r.tobytes() for r in piv.order(wide[at], kind)]
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array([kind] * len(at)), pa.array([raw[i] for i in at], pa.binary()), pa.array(orders, pa.binary())], names=["id", "q", "v", "perm"])
 
     rows = cut(src.mapInArrow(assign, "id long, q boolean, v binary, perm binary"))
+    nx, nq = -(-n // CHUNK), -(-n_queries // QUERIES)
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("q"), nq).otherwise(nx)).cast("int")
+    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("q"), nx).otherwise(nq) - 1)))
+    dealt = dealt.select("id", "q", "v", "perm", F.when(F.col("q"), F.col("other")).otherwise(F.col("mine")).alias("cx"), F.when(F.col("q"), F.col("mine")).otherwise(F.col("other")).alias("cq"))
 
-    def first(n: int) -> Column:
-        # the first n pivot numbers, little-endian 16-bit
-        return F.array(*[F.conv(F.hex(F.concat(F.substring("perm", 2 * i + 2, 1), F.substring("perm", 2 * i + 1, 1))), 16, 10).cast("int") for i in range(min(n, n_piv, PREFIX))])
-
-    files = rows.withColumn("p", F.explode(F.when(F.col("q"), first(probed)).otherwise(first(posted))))
-    count = {(r.p, r.q): r.n for r in files.groupBy("p", "q").agg(F.count("*").alias("n")).collect()}  # two for each pivot
-    grid = [F.array(*[F.lit(-(-count.get((p, q), 0) // CHUNK) or 1) for p in range(n_piv)]) for q in (False, True)]
-    dealt = files.withColumn("nx", F.get(grid[0], F.col("p"))).withColumn("nq", F.get(grid[1], F.col("p")))
-    mine = F.pmod(F.xxhash64("id"), F.when(F.col("q"), F.col("nq")).otherwise(F.col("nx"))).cast("int")
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("q"), F.col("nx")).otherwise(F.col("nq")) - 1)))
-    dealt = dealt.select("id", "q", "v", "perm", "p", F.when(F.col("q"), F.col("other")).otherwise(F.col("mine")).alias("cx"), F.when(F.col("q"), F.col("mine")).otherwise(F.col("other")).alias("cq"))
-
-    def file(t: pa.Table) -> pa.Table:
+    def meet(t: pa.Table) -> pa.Table:
         is_q = t.column("q").to_numpy()
         xs, qs = t.filter(pa.array(~is_q)).combine_chunks(), t.filter(pa.array(is_q)).combine_chunks()
         found = ([], [], [])
         if len(xs) and len(qs):
-            x, q = _matrix(xs.column("v"), dtype), _matrix(qs.column("v"), dtype)
-            px = np.frombuffer(b"".join(xs.column("perm").to_pylist()), np.int16).reshape(len(x), -1)
-            pq = np.frombuffer(b"".join(qs.column("perm").to_pylist()), np.int16).reshape(len(q), -1)
-            m = px.shape[1]
-            index = np.full((n_piv, len(x)), m, np.int8)
-            for i in range(m):
-                index[px[:, i], np.arange(len(x))] = i
-            xid, qid = xs.column("id").to_numpy(), qs.column("id").to_numpy()
-            most = max(min(len(x), 4 * k + 1), int(keep * len(x)))
-            for i in range(len(q)):
-                at = np.arange(len(x))
-                if most < len(x):
-                    at = np.argpartition(footrule(index, pq[i], n_piv), most - 1)[:most]
-                at = at[xid[at] != qid[i]]
-                s = x[at] @ q[i]
-                if len(at) > 4 * k:  # ties at the end stay for the id to decide
-                    at, s = at[s >= (edge := np.partition(s, len(s) - k)[len(s) - k])], s[s >= edge]
-                best = np.lexsort((xid[at], -s))[:k]
-                found[0].append(np.full(len(best), qid[i]))
-                found[1].append(xid[at][best])
-                found[2].append(s[best])
+            qid = qs.column("id").to_numpy()
+            queries = zip(qid, _matrix(qs.column("v"), dtype).astype(np.float64), _matrix(qs.column("perm"), np.uint8), strict=True)
+            for i, ids, scores in rerank(xs.column("id").to_numpy(), _matrix(xs.column("v"), dtype), _matrix(xs.column("perm"), np.uint8), n_piv, queries, k, keep):
+                found[0].append(np.full(len(ids), qid[i]))
+                found[1].append(ids)
+                found[2].append(scores)
         cat = [np.concatenate(c) if c else np.zeros(0) for c in found]
         return pa.table([pa.array(cat[0].astype(np.int64)), pa.array(cat[1].astype(np.int64)), pa.array(cat[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
-    near = dealt.groupBy("p", "cx", "cq").applyInArrow(file, out)
-    # one product has one value however the rows of a file were laid out
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.groupBy("cx", "cq").applyInArrow(meet, "query_id long, vec_id long, score double")
 
 
 def op1_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
