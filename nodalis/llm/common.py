@@ -1,8 +1,9 @@
 """Helpers shared by the training-data operators.
 
 Work folders: every intermediate table lives under the folder named by
-``spark.checkpoint.dir`` (shared by driver and executors on a cluster); only
-where that setting is missing, as in unit tests, is a folder of our own set.
+``spark.checkpoint.dir`` (shared by driver and executors on a cluster).  Where
+that setting is missing a local master, as in unit tests, gets a folder of its
+own; any other master is an error, as its executors would not see one.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(path)
         return path
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="nodalis-"))
     return os.path.dirname(spark.sparkContext.getCheckpointDir())
 
@@ -68,18 +71,24 @@ HOT_ROWS = 20_000
 HOT_KEYS = 100_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """``left.join(right, on, how)`` for a checkpointed ``left`` in which one key
-    may have any share of the rows and a ``right`` of one row a key: rows of hot
-    keys are cut into chunks of HOT_ROWS that meet a copy of right's row each."""
-    hot = cut(left.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(on, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_chunks")))
-    n = hot.count()
-    if not n:
+def salted_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", stable: bool = False) -> DataFrame:
+    """``left.join(right, on, how)`` where one key of ``left`` may have any share
+    of the rows and ``right`` has one row a key: rows of hot keys are cut into
+    chunks of HOT_ROWS, by their values (by their number in a ``stable``, that is
+    checkpointed, left, which splits equal rows too), that meet a copy of right's
+    row each.  Keys with that many rows are few; beyond HOT_KEYS of them their
+    table is dealt like the others."""
+    on = [on] if isinstance(on, str) else on
+    hot = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on, F.ceil(F.col("_n") / HOT_ROWS).cast("int").alias("_chunks"))
+    few = hot.limit(HOT_KEYS + 1).collect()
+    if not few:
         return left.join(right, on, how)
-    hot = F.broadcast(hot) if n <= HOT_KEYS else hot
-    a = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_chunks", F.lit(1))).cast("int"))
+    if len(few) <= HOT_KEYS:
+        hot = F.broadcast(left.sparkSession.createDataFrame(few, hot.schema))
+    row = F.monotonically_increasing_id() if stable else F.xxhash64(*left.columns)
+    a = left.withColumn("_row", row).join(hot, on, "left").withColumn("_salt", F.pmod("_row", F.coalesce("_chunks", F.lit(1))).cast("int"))
     b = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)))
-    return a.drop("_chunks").join(b.drop("_chunks"), [on, "_salt"], how).drop("_salt")
+    return a.drop("_chunks", "_row").join(b.drop("_chunks"), [*on, "_salt"], how).drop("_salt")
 
 
 def held_out(doc_id: str = "doc_id"):

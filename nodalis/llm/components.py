@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import cut
+from nodalis.llm.common import cut, salted_join
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -24,10 +24,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         # large star: larger neighbours of a node move to its smallest neighbour
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        big = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        big = salted_join(both.where(F.col("b") > F.col("a")), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours move to the smallest of them
         low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(low, "a")
+        small = salted_join(big, low, "a")
         e = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:

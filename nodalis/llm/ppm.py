@@ -11,7 +11,12 @@ shortest wins, ties to the smaller name.
 The trees of all languages share one node numbering, so code lengths of a
 batch come from a few vectorised table look-ups for each byte.
 
-Null texts and texts without a letter get ``und`` and score 0.  Without any
+The driver and each worker hold the trees: up to TRAIN_ROWS whole documents a
+language, so their size grows with the number of languages (dense count tables;
+some hundred are fine), not with the input.
+
+Null texts and texts without a letter (Unicode category L) get ``und`` and score
+0.  Without any
 learned language every text is ``und``.  Very long texts are scored in blocks;
 results do not depend on the block.
 """
@@ -33,10 +38,16 @@ ORDER = 3
 #: Labelled documents a language is learned from, at most (whole texts).
 TRAIN_ROWS = 400
 BLOCK = 1 << 20
+#: Candidates for letters; numerals such as a half or a superscript are among them.
 LETTER = re.compile(r"[^\W\d_]")
 PAD = b"\n" * ORDER
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the letter categories."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def count_grams(texts: list[bytes], order: int = ORDER) -> list[dict[bytes, int]]:
     """Counts of all grams of 1 to order + 1 bytes, each text begun with PAD."""
     out = []
@@ -162,7 +173,8 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Gram counts of each language from at most ``rows`` whole documents of it.
     Counting runs on the executors; the driver gets counts only."""
     src = df.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    some = bounded_sample(src, key, lang, rows).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # of a document that repeats, one text counts
+    some = bounded_sample(src, key, lang, rows).groupBy(key, lang).agg(F.min(text).alias("_text")).select(F.col(lang).alias("lang"), F.col("_text").alias("text"))
 
     def count(batches):
         texts: dict[str, list[bytes]] = {}
@@ -201,7 +213,7 @@ def identify(df: DataFrame, grams: dict[str, list[dict[int, int]]], key: str = "
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 texts = b.column(1).to_pylist()
-                ok = [bool(trees.langs) and t is not None and LETTER.search(t) is not None for t in texts]
+                ok = [bool(trees.langs) and t is not None and has_letter(t) for t in texts]
                 lang, score, bits = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
                 if any(ok):
                     at_ = [i for i, x in enumerate(ok) if x]

@@ -38,14 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import cut, if_small, table
+from nodalis.llm.common import HOT_KEYS, cut, if_small, salted_join, table
 from nodalis.llm.components import components
 
 SEED = 42
 #: Rows of a group that one task takes at once.
 GROUP_ROWS = 16_384
-#: Large groups whose sizes are broadcast, at most (some 20 bytes each).
-HOT_KEYS = 100_000
 #: Doubtful pairs (and edges) that a task holds at once, about.
 DOUBTFUL = 500_000
 #: Codes in a leaf and children of a node.
@@ -423,8 +421,8 @@ def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFra
     # fingerprints are the nodes, so that rows without a key link others and rows of one key stay apart
     found = components(link(codes.select(F.col("fp").alias("id"), "fp"), exact_masks(radius), radius))
     reps = cut(codes.join(found, codes.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("root")))
-    reps = reps.join(reps.groupBy("root").agg(F.min("id").alias("component")), "root").select("fp", "component")
-    return fps.join(reps, "fp").select(key, "fp", "component")
+    reps = salted_join(reps, reps.groupBy("root").agg(F.min("id").alias("component")), "root").select("fp", "component")
+    return salted_join(fps, reps, "fp", stable=True).select(key, "fp", "component")
 
 
 #: The wide search for near copies: shingle size, least similarity, bits that may differ, and
@@ -463,7 +461,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     # of repeated keys and texts one row stays, but keys are what is dropped: a
     # key that stands for its own group is never listed
     reps = codes.join(found, codes.id == found.node, "left").select("fp", "sketch", F.coalesce("component", "id").alias("component"), F.coalesce(F.col("component") != F.col("id"), F.lit(False)).alias("moved"), "n").where("n > 1 or moved")
-    return fps.join(reps, ["fp", "sketch"]).where(F.col(key) != F.col("component")).select(key, "component")
+    return salted_join(fps, reps, ["fp", "sketch"], stable=True).where(F.col(key) != F.col("component")).select(key, "component")
 
 
 def checked(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int, least: float) -> DataFrame:
@@ -488,9 +486,10 @@ def checked(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int, least:
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``df`` with one row of each group of copies and near copies, that of the
-    smallest key; rows without a key stay."""
-    gone = if_small(near_copies(df, key, text, **how).select(F.col(key).alias("_gone")).distinct())
-    return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    smallest key; rows without a key stay.  Columns may have any names."""
+    gone = if_small(near_copies(df, key, text, **how).select(F.col(key).alias("gone")).distinct())
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return rows.join(gone, F.col("row").getField(key) == F.col("gone"), "left_anti").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,12 @@ def test_language_rows(spark):
     assert all(got[i][0] == "en" and 0.5 <= got[i][1] <= 1 for i in range(20))
     assert {r.lang_pred for r in ppm.identify(df, {}).collect()} == {"und"}
     assert ppm.identify(df.where("false"), grams).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    df = spark.createDataFrame([(i, "the cat and the dog " * 5, "en", 1) for i in range(5)] * 3, "doc_id long, text string, lang string, bits int")
+    grams = ppm.learn(df)
+    assert sum(grams["en"][0].values()) == 5 * 100
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "٣ Ⅷ ①"), (3, "½ a"), (4, "ª"), (5, "字")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in ppm.identify(odd, grams).collect()}
+    assert got == {1: "und", 2: "und", 3: "en", 4: "en", 5: "en"}
