@@ -80,8 +80,9 @@ def test_rows(spark, monkeypatch):
     docs, items = cases()
     monkeypatch.setattr(D, "ITEMS", 10)  # several blocks
     df = spark.createDataFrame([(i if i != 3 else None, d, i) for i, d in enumerate(docs)], "doc_id long, text string, item_id long")
-    bench = spark.createDataFrame([*items, (None, docs[7])], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (None, docs[7]), items[0]], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.contaminated(df, bench).collect()}
+    items = [*items, (None, docs[7])]  # an item without an id is one too
     want = {(i if i != 3 else None, k) for i, d in enumerate(docs) for k in brute(d, items)}
     assert got == want
     kept = {r.item_id for r in D.clean(df, bench).collect()}
@@ -89,3 +90,21 @@ def test_rows(spark, monkeypatch):
     assert D.contaminated(df, bench.where("false")).count() == 0
     assert D.clean(df.where("false"), bench).count() == 0
     assert D.clean(df, bench.where("false")).count() == len(docs)
+
+
+def test_fingerprints_find_most_and_the_bound_finds_the_rest():
+    docs, items = cases()
+    m = D.Benchmark(items)
+    near = sum(len(x) for x in m.batch(docs, beyond=False))
+    both = m.batch(docs)
+    assert 0.7 * sum(map(len, both)) < near <= sum(map(len, both))
+    assert any(bits > D.RADIUS for x in both for *_, bits in x)
+
+
+def test_a_shingle_that_all_items_share(spark):
+    same = "one and the same begin of all items"
+    items = [(f"i{i}", f"{same} {i} " + " ".join(f"x{i}y{j}" for j in range(20))) for i in range(300)]
+    docs = [items[7][1], f"{same} " * 50, items[8][1] + f" {same}" * 400]
+    df = spark.createDataFrame([(str(i), d) for i, d in enumerate(docs)], "doc_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(df, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {("0", "i7"), ("2", "i8")}
