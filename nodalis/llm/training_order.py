@@ -12,12 +12,15 @@ anywhere by seeking.
 Ids are made twice (first to count), so nothing is kept between but counts by
 partition; one shuffle moves ids to their shards.  The source must give the same
 rows in the same partitions again: file scans do, anything else is checkpointed
-first.  Shards are written under a temporary name and renamed, so a task that
-runs again replaces its work; finished shards of an interrupted run are left out
-of the shuffle when the manifest (count, key, stride, partition counts) agrees.
+first.  Shards are written at once, with the rows of their records beside them, under
+temporary names and renamed, so a task that runs again replaces its work;
+finished shards of an interrupted run are left out of the shuffle when the
+manifest (count, key, stride, partition counts) agrees, and their rows are
+returned like the others'.
 
 Null and empty texts give one sequence with the end id alone; long texts as many
-as they need; repeated rows each their own; an empty table no sequence.
+as they need; repeated rows each their own; an empty table no sequence.  Ids keep
+their type; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nodalis.llm.common import cut, shared_dir, table
 
@@ -133,12 +138,12 @@ def sequences(n_bytes: int, length: int = LENGTH) -> int:
 
 
 def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard: int = SHARD, seed: int = KEY, stable: bool = False, ranks_path: str | None = None) -> DataFrame:
-    """Writes ``df``'s sequences under ``folder`` when the returned rows (slot,
-    shard, record, key, part, n_tokens, digest) are computed."""
+    """Writes ``df``'s sequences under ``folder`` and returns their rows (slot,
+    shard, record, key, part, n_tokens, digest), those of earlier runs too."""
     spark = df.sparkSession
     with open(ranks_path or default_ranks(), "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    src = df.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
+    src = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
     src = src if stable else cut(src)
 
     def count(batches):
@@ -153,7 +158,8 @@ def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     for p, n in counts:
         base[p] = at
         at += n
-    rows = "slot long, shard long, record long, " + key + " long, part int, n_tokens int, digest long"
+    kind = src.schema["_k"].dataType
+    rows = f"slot long, shard long, record long, `{key}` {kind.simpleString()}, part int, n_tokens int, digest long"
     if not total:
         return spark.createDataFrame([], rows)
     bases, stride, shards = spark.sparkContext.broadcast(base), 4 + 2 * length, -(-total // shard)
@@ -161,6 +167,7 @@ def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
     fs.create_dir(path, recursive=True)
     manifest = {"count": total, "length": length, "shard": shard, "stride": stride, "dtype": "<u2", "key": seed, "partitions": xxhash.xxh64_hexdigest(json.dumps(counts))}
     done = _done(fs, path, manifest, total, shard, stride)
+    key_type = to_arrow_type(kind)
     with fs.open_output_stream(f"{path}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
 
@@ -178,54 +185,82 @@ def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
                         ids.append(raw[2 * length * j : 2 * length * (j + 1)])
                 slot = order(np.arange(i, i + len(ids), dtype=np.uint64)).view(np.int64)
                 i += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "k", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(keys, key_type), pa.array(parts, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "k", "part", "ids"])
 
     def write(batches):
         fs, path = _fs(folder)
-        at, out, temp = -1, None, ""
+        at, out, temp, index = -1, None, "", []
 
         def close():
             if out is not None:
                 out.close()
+                with fs.open_output_stream(f"{temp}.rows") as f:
+                    pq.write_table(pa.Table.from_batches(index), f)
+                fs.move(f"{temp}.rows", f"{path}/{at:08d}.parquet")
                 fs.move(temp, f"{path}/{at:08d}.bin")
 
-        for b in batches:
-            slot = b.column(0).to_numpy()
-            ids, n, digest = b.column(3).to_pylist(), [], []
-            for s, raw in zip(slot.tolist(), ids, strict=True):
-                if s // shard != at:
+        for whole in batches:
+            shards = whole.column(0).to_numpy() // shard
+            cuts = np.flatnonzero(np.diff(shards)) + 1
+            for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)], strict=True):
+                b = whole.slice(a, e - a)
+                if e > a and shards[a] != at:
                     close()
-                    at, temp = s // shard, f"{path}/{s // shard:08d}.{uuid.uuid4().hex}.tmp"
+                    at, index = int(shards[a]), []
+                    temp = f"{path}/{at:08d}.{uuid.uuid4().hex}.tmp"
                     out = fs.open_output_stream(temp)
-                record = (len(raw) // 2).to_bytes(4, "little") + raw.ljust(2 * length, b"\0")
-                out.write(record)
-                n.append(len(raw) // 2)
-                digest.append(xxhash.xxh64_intdigest(record))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(slot // shard), pa.array(slot % shard), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))],
-                names=["slot", "shard", "record", key, "part", "n_tokens", "digest"],
-            )
+                n, digest = [], []
+                for raw in b.column(3).to_pylist():
+                    record = (len(raw) // 2).to_bytes(4, "little") + raw.ljust(2 * length, b"\0")
+                    out.write(record)
+                    n.append(len(raw) // 2)
+                    digest.append(xxhash.xxh64_intdigest(record))
+                slot = b.column(0).to_numpy()
+                index.append(
+                    pa.RecordBatch.from_arrays(
+                        [b.column(0), pa.array(slot // shard), pa.array(slot % shard), b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))],
+                        names=["slot", "shard", "record", key, "part", "n_tokens", "digest"],
+                    )
+                )
         close()
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], names=["last"])
 
-    dealt = src.mapInArrow(deal, "slot long, k long, part int, ids binary")
+    dealt = src.mapInArrow(deal, f"slot long, k {kind.simpleString()}, part int, ids binary")
     if done:
         dealt = dealt.where(~(F.col("slot") / shard).cast("long").isin(done)) if len(done) < 1000 else dealt.join(F.broadcast(spark.createDataFrame([(s,) for s in done], "s long")), F.expr(f"slot div {shard} = s"), "left_anti")
     by_shard = dealt.repartitionById(int(shards), (F.expr(f"slot div {shard}")).cast("int")).sortWithinPartitions("slot")
-    return by_shard.mapInArrow(write, rows)
+    if len(done) < shards:
+        by_shard.mapInArrow(write, "last long").write.format("noop").mode("overwrite").save()
+    _sweep(fs, path)
+    return spark.read.schema(rows).parquet(f"{folder}/*.parquet")
 
 
-def _done(fs, path: str, manifest: dict, total: int, shard: int, stride: int) -> list[int]:
-    """Shards that an earlier run with the same manifest has finished."""
+def _listed(fs, path: str) -> dict[str, int]:
+    """Sizes of the files of a folder, by name."""
     from pyarrow.fs import FileSelector, FileType
 
-    try:
+    return {i.base_name: i.size for i in fs.get_file_info(FileSelector(path)) if i.type == FileType.File}
+
+
+def _done(fs, path: str, manifest: dict, total: int, shard: int, stride: int) -> list[int]:
+    """Shards that an earlier run with the same manifest has finished; those of
+    another manifest are removed."""
+    found = _listed(fs, path)
+    if "manifest.json" in found:
         with fs.open_input_stream(f"{path}/manifest.json") as f:
             if json.loads(f.read()) != manifest:
+                for name in found:
+                    fs.delete_file(f"{path}/{name}")
                 return []
-    except (FileNotFoundError, OSError):
-        return []
-    found = {int(m[1]): i.size for i in fs.get_file_info(FileSelector(path)) if i.type == FileType.File and (m := re.search(r"(\d{8})\.bin$", i.path))}
-    return [s for s, size in found.items() if size == stride * (min(total, (s + 1) * shard) - s * shard)]
+    whole = {int(m[1]) for name, size in found.items() if (m := re.fullmatch(r"(\d{8,})\.bin", name)) and size == stride * (min(total, (int(m[1]) + 1) * shard) - int(m[1]) * shard)}
+    return sorted(s for s in whole if f"{s:08d}.parquet" in found)
+
+
+def _sweep(fs, path: str) -> None:
+    """Removes what tasks that failed have left."""
+    for name in _listed(fs, path):
+        if ".tmp" in name:
+            fs.delete_file(f"{path}/{name}")
 
 
 def read_from(folder: str, slot: int = 0):
@@ -245,4 +280,4 @@ def read_from(folder: str, slot: int = 0):
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    return materialise(table(spark, sf_dir, "documents"), folder, stable=True)
+    return materialise(table(spark, sf_dir, "documents"), folder, stable=True).withColumn("folder", F.lit(folder))
