@@ -54,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a work folder of ours, wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows, or elements of their arrays, that a broadcast side may have (some tens of MB).
 SMALL = 500_000
 
