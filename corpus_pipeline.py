@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodalis.llm import decontaminate, pieces, pii, simhash, toxicity
-from nodalis.llm.common import held_out, ready, shared_dir, table
+from nodalis.llm.common import held_out, ready, remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each keeps is written to the shared
-    folder and read again, so a lost executor never sends work back further."""
-    docs = table(spark, sf_dir, "documents")
+    folder and read again, so a lost executor never sends work back further.  A
+    copy goes once the next one is written; the last, which the result reads,
+    stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{name}")
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
