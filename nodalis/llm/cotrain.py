@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import bounded_sample, cut, held_out, table
+from nodalis.llm.common import bounded_sample, cut, held_out, mapped, table
 
 TRAIN_ROWS = 3000
 ROUNDS = 3
@@ -246,7 +246,7 @@ def _total(feat: DataFrame, of) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([shapes])], names=["sums", "shapes"])
 
     kind = "sums binary, shapes string"
-    rows = feat.select("x", "m", "y").mapInArrow(each, kind).repartition(FOLDED).mapInArrow(fold, kind).collect()
+    rows = mapped(feat.select("x", "m", "y"), each, kind).repartition(FOLDED).mapInArrow(fold, kind).collect()
     if not rows:
         return []
     flat, out, at = sum(np.frombuffer(r.sums) for r in rows), [], 0
@@ -275,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
                 x, m = _views(b)
                 yield pa.RecordBatch.from_arrays([*[pa.array([r.astype(np.float16).tobytes() for r in v], pa.binary()) for v in (x, m)], b.column(5), b.column(4), b.column(6)], names=["x", "m", "y", "id", "out"])
 
-    feat = cut(rows.mapInArrow(featured, f"x binary, m binary, y int, id {rows.schema['_id'].dataType.simpleString()}, out boolean"))
+    feat = cut(mapped(rows, featured, f"x binary, m binary, y int, id {rows.schema['_id'].dataType.simpleString()}, out boolean"))
     labelled, free = feat.where("y >= 0"), feat.where("y < 0")
     teach = labelled.where("not out")
     got = _total(teach, _moments)
@@ -319,7 +319,7 @@ def _odds(rows: DataFrame, model: TwoViews) -> tuple:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(3), pa.array(own.value.odds(0, _kept(b.column(0)))), pa.array(own.value.odds(1, _kept(b.column(1)))), b.column(2)], names=["id", "a", "b", "y"])
 
-    got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, a double, b double, y int").groupBy("id").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("y").alias("y")).orderBy("id").toArrow()
+    got = mapped(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, a double, b double, y int").groupBy("id").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("y").alias("y")).orderBy("id").toArrow()
     return tuple(got.column(c).to_numpy() for c in ("a", "b", "y"))
 
 
@@ -336,7 +336,7 @@ def score(docs: DataFrame, model: TwoViews | None, key: str = "doc_id") -> DataF
                 yield pa.RecordBatch.from_arrays([b.column(4), pa.array(own.value.score(*_views(b)))], names=[key, "score"])
 
     src = _source(docs, F.col(key))
-    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, score double")
+    return mapped(src, run, f"`{key}` {src.schema[key].dataType.simpleString()}, score double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nodalis.llm.common import table
+from nodalis.llm.common import mapped, table
 
 SHINGLE = 5
 LEAST = 0.8
@@ -333,7 +333,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
                         names=[key, "item_id", "start_word", "n_words", "similarity", "differing_bits"],
                     )
 
-        part = src.mapInArrow(run, f"`{key}` {kind}, item_id {item_kind.simpleString()}, start_word int, n_words int, similarity double, differing_bits int")
+        part = mapped(src, run, f"`{key}` {kind}, item_id {item_kind.simpleString()}, start_word int, n_words int, similarity double, differing_bits int")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -351,7 +351,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "
                     texts = b.column(b.schema.get_field_index(text)).to_pylist()
                     yield b.filter(pa.array([not got for got in m.batch(texts)], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
+        df = mapped(df, run, df.schema)
     return df
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import table
+from nodalis.llm.common import mapped, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
@@ -398,7 +398,7 @@ def extract(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFram
                 b = whole.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_of(h) for h in b.column(1).to_pylist()], pa.string())], names=[key, "text"])
 
-    return src.mapInArrow(run, f"`{key}` {src.schema[key].dataType.simpleString()}, text string")
+    return mapped(src, run, f"`{key}` {src.schema[key].dataType.simpleString()}, text string")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import cut, table
+from nodalis.llm.common import cut, mapped, table
 
 #: Pivot numbers are bytes; two places of a prefix add up within a byte.
 PIVOTS = 256
@@ -184,7 +184,7 @@ def _found(src: DataFrame, n: int, n_queries: int, longest: float, dtype, k: int
                     orders = [r.tobytes() for r in piv.order(wide[at], kind)]
                     yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array([kind] * len(at)), pa.array([raw[i] for i in at], pa.binary()), pa.array(orders, pa.binary())], names=["id", "q", "v", "perm"])
 
-    rows = cut(src.mapInArrow(assign, "id long, q boolean, v binary, perm binary"))
+    rows = cut(mapped(src, assign, "id long, q boolean, v binary, perm binary"))
     nx, nq = -(-n // CHUNK), -(-n_queries // QUERIES)
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("q"), nq).otherwise(nx)).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("q"), nx).otherwise(nq) - 1)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import table
+from nodalis.llm.common import mapped, table
 
 MARK = "▁"
 #: Entries of the unit cache and the pair memo before they start anew; memory bound of a worker.
@@ -272,7 +272,7 @@ def encode_decode(df: DataFrame, model_path: str | None = None, key: str = "doc_
                 )
 
     kind = src.schema[key].dataType.simpleString()
-    return src.mapInArrow(run, f"`{key}` {kind}, ids {'array<int>' if as_array else 'binary'}, decoded string")
+    return mapped(src, run, f"`{key}` {kind}, ids {'array<int>' if as_array else 'binary'}, decoded string")
 
 
 def ids_digest(ids: Column) -> Column:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import bounded_sample, held_out, table
+from nodalis.llm.common import bounded_sample, held_out, mapped, table
 
 ORDER = 3
 #: Labelled documents a language is learned from, at most (whole texts).
@@ -185,7 +185,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             for k, c in enumerate(count_grams(own)):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(c)), pa.array([k] * len(c), pa.int32()), pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], names=["lang", "k", "gram", "n"])
 
-    got = some.mapInArrow(count, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(some, count, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
     out: dict[str, list[dict[int, int]]] = {}
     for name, k, g, n in zip(*(got.column(c).to_pylist() for c in ("lang", "k", "gram", "n")), strict=True):
         out.setdefault(name, [{} for _ in range(ORDER + 1)])[k][g] = n
@@ -226,7 +226,7 @@ def identify(df: DataFrame, grams: dict[str, list[dict[int, int]]], key: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[key, "lang_pred", "score", "bits"])
 
     kind = src.schema[key].dataType.simpleString()
-    return src.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits double")
+    return mapped(src, run, f"`{key}` {kind}, lang_pred string, score double, bits double")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import HOT_KEYS, cut, if_small, salted_join, table
+from nodalis.llm.common import HOT_KEYS, cut, if_small, mapped, salted_join, table
 from nodalis.llm.components import components
 
 SEED = 42
@@ -115,7 +115,7 @@ def fingerprints(df: DataFrame, k: int = 3, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(sketches, pa.binary())] if with_sketch else []), names=names)
 
     kind = src.schema[key].dataType.simpleString()
-    return src.mapInArrow(run, f"`{key}` {kind}, fp long" + (", sketch binary" if with_sketch else ""))
+    return mapped(src, run, f"`{key}` {kind}, fp long" + (", sketch binary" if with_sketch else ""))
 
 
 # --- masks ------------------------------------------------------------------
@@ -409,7 +409,7 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
         if left is not None and left.num_rows:
             yield from work(left)
 
-    return dealt.mapInArrow(run, "u long, v long, w double, first boolean")
+    return mapped(dealt, run, "u long, v long, w double, first boolean")
 
 
 def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFrame:
@@ -478,7 +478,7 @@ def checked(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int, least:
                 cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(cuts, np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["i", "s"])
 
-    sets = src.mapInArrow(run, "i long, s array<long>").groupBy("i").agg(F.min("s").alias("s"))
+    sets = mapped(src, run, "i long, s array<long>").groupBy("i").agg(F.min("s").alias("s"))
     both = pairs.join(sets.select(F.col("i").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("i").alias("v"), F.col("s").alias("b")), "v")
     same = F.size(F.array_intersect("a", "b"))
     return both.where(same >= least * (F.size("a") + F.size("b") - same)).select("u", "v")

@@ -39,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import bounded_sample, held_out, table
+from nodalis.llm.common import bounded_sample, held_out, mapped, table
 
 ORDER = 4
-SHARED = 1
+SHARED = 2
 DISCOUNT = 0.75
 WINDOW = 60
 #: Labelled documents of each class that the models are fitted on, and characters of them, at most.
@@ -276,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     ids = [pa.array(x.view(np.int64)) for x in cols]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), n, np.int32)), *ids, pa.array(c * (y == 0)), pa.array(c * (y == 1))], names=["n", "gram", "context", "shorter", "a", "b"])
 
-    got = train.where(~F.col("_fit")).select("_text", "_y").mapInArrow(count, "n int, gram long, context long, shorter long, a long, b long")
+    got = mapped(train.where(~F.col("_fit")).select("_text", "_y"), count, "n int, gram long, context long, shorter long, a long, b long")
     got = got.groupBy("n", "gram").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     order = got.column("n").to_numpy()
     cols = [got.column(c).to_numpy() for c in ("gram", "context", "shorter", "a", "b")]
@@ -316,7 +316,7 @@ def evidence(df: DataFrame, model: TwoModels, key: str, text: str, *carry: str)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(of(texts), pa.float64())], names=[*b.schema.names[:-1], "evidence"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{fields}, evidence double")
+    return mapped(src, run, f"{fields}, evidence double")
 
 
 def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,7 +340,7 @@ def accept(docs: DataFrame, model, threshold: float = 0.5, text: str = "text") -
             for b, texts in _pieces(whole, column):
                 yield b.filter(pa.array(1 / (1 + np.exp(-(of(texts) * slope + offset))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

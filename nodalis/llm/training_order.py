@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nodalis.llm.common import cut, shared_dir, table
+from nodalis.llm.common import cut, mapped, shared_dir, table
 
 LENGTH = 256
 #: Records of a shard.
@@ -152,7 +152,7 @@ def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
             n += sum(sequences(2 * enc.count(t), length) for t in b.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["p", "n"])
 
-    counts = sorted((r.p, r.n) for r in src.mapInArrow(count, "p long, n long").collect())  # two numbers a partition
+    counts = sorted((r.p, r.n) for r in mapped(src, count, "p long, n long").collect())  # two numbers a partition
     total = sum(n for _, n in counts)
     base, at = {}, 0
     for p, n in counts:
@@ -225,12 +225,12 @@ def materialise(df: DataFrame, folder: str, key: str = "doc_id", text: str = "te
         close()
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], names=["last"])
 
-    dealt = src.mapInArrow(deal, f"slot long, k {kind.simpleString()}, part int, ids binary")
+    dealt = mapped(src, deal, f"slot long, k {kind.simpleString()}, part int, ids binary")
     if done:
         dealt = dealt.where(~(F.col("slot") / shard).cast("long").isin(done)) if len(done) < 1000 else dealt.join(F.broadcast(spark.createDataFrame([(s,) for s in done], "s long")), F.expr(f"slot div {shard} = s"), "left_anti")
     by_shard = dealt.repartitionById(int(shards), (F.expr(f"slot div {shard}")).cast("int")).sortWithinPartitions("slot")
     if len(done) < shards:
-        by_shard.mapInArrow(write, "last long").write.format("noop").mode("overwrite").save()
+        mapped(by_shard, write, "last long").write.format("noop").mode("overwrite").save()
     _sweep(fs, path)
     return spark.read.schema(rows).parquet(f"{folder}/*.parquet")
 
