@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodalis import schema
@@ -146,17 +146,37 @@ class RecursiveFit:
 
 
 def recursive_fit(frames: Frames, forget: float = 0.99, regularization: float = 1000.0) -> DataFrame:
-    """(traj, name, i, j, v): each trajectory's operator after all its transitions."""
+    """(traj, name, i, j, v): each trajectory's operator after all its transitions
+    in order of (t, node).
+
+    The recursion has a closed form: transition k of n weighs forget^(n - k) in
+    the sums x x' and x y', the start's identity over ``regularization`` weighs
+    forget^n.  So transitions are numbered (a running count over steps, a place
+    within each step) and added up with partial sums; only d x d sums are solved,
+    one trajectory a call."""
+    if not 0 < forget <= 1 or regularization <= 0:
+        raise ValueError("forgetting factor or regularization out of range")
+    p = frames.pairs()
     d = frames.channels
+    steps = p.groupBy("traj", "t").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("traj")
+    steps = steps.select("traj", "t", F.sum("_n").over(w.orderBy("t")).alias("_end"), "_n", F.sum("_n").over(w).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("traj", "t").orderBy("node"))
+    rows = p.withColumn("_at", place).join(steps, ["traj", "t"]).withColumn("_w", F.pow(F.lit(float(forget)), F.col("_all") - F.col("_end") + F.col("_n") - F.col("_at")))
+    entries = [F.sum(F.col("_w") * F.col("x")[i] * F.col(c)[j]) for c in "xy" for i in range(d) for j in range(d)]
+    sums = rows.groupBy("traj").agg(F.max("_all").alias("n"), F.array(*entries).alias("s"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "node"])
-        r = RecursiveFit(d, 0, forget, regularization)
-        r.update(np.array(pdf.x.tolist(), float), np.array(pdf.y.tolist(), float))
-        i, j = np.indices(r.matrix.shape)
-        return pd.DataFrame({"traj": pdf.traj.iloc[0], "name": "K", "i": i.ravel(), "j": j.ravel(), "v": r.matrix.ravel()})
-
-    return frames.pairs().groupBy("traj").applyInPandas(one, "traj int, " + schema.MATRIX)
+        out = []
+        for traj, n, s in zip(pdf.traj, pdf.n, pdf.s, strict=True):
+            start = forget ** float(n) / regularization * np.eye(d)
+            s = np.asarray(s, float).reshape(2, d, d)
+            k = np.linalg.solve(s[0] + start, s[1] + start).T
+            i, j = np.indices(k.shape)
+            out.append(pd.DataFrame({"traj": traj, "name": "K", "i": i.ravel(), "j": j.ravel(), "v": k.ravel()}))
+        return pd.concat(out)
+
+    return sums.mapInPandas(lambda parts: (one(x) for x in parts if len(x)), "traj int, " + schema.MATRIX)
 
 
 def node_dmd(frames: Frames, rank: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,7 +236,7 @@ class DiscreteOperator:
     def inverse_column(self, z: Column | str, u: Column | str | None = None) -> Column:
         self.control.check(u)
         if self.control.mode == "bilinear":
-            raise ValueError("a bilinear inverse depends on each row's control: use inverse_step in an Arrow function")
+            raise ValueError("a bilinear inverse depends on each row's control: use advance_rows(.., back=True)")
         y = V.col(z) if u is None else V.sub(z, V.matvec(self.control.b.T, u))
         return V.matvec(self.inverse_matrix(), y)
 
@@ -354,7 +355,7 @@ class ContinuousOperator(DiscreteOperator):
     def column(self, z: Column | str, u: Column | str | None = None, dt: float = 1.0) -> Column:
         self.control.check(u)
         if self.kind == "auxiliary_spectral" or self.control.mode == "bilinear":
-            raise ValueError("this step depends on each row: use advance in an Arrow function")
+            raise ValueError("this step depends on each row: use advance_rows")
         if u is None:
             return V.matvec(self.transition(dt), z)
         f, g = van_loan(self.matrix(), self.control.b, dt)
@@ -444,6 +445,37 @@ class GraphOperator:
         return compute_spectrum(self.effective_matrix(adjacency), time_step)
 
 
+def advance_rows(operator: DiscreteOperator, snap: DataFrame, u: str = "u", dt: float | None = None, back: bool = False) -> DataFrame:
+    """``snap`` (.., f) with each row's step, or its inverse, for operators whose
+    matrix depends on the row: bilinear controls (array column ``u``) and
+    generators from a network.  Arrow batches, no shuffle; the operator's small
+    parameters go with the function."""
+    controlled = operator.control.dim > 0
+    at, from_u = snap.columns.index("f"), snap.columns.index(u) if controlled else None
+    how = {} if dt is None else {"dt": dt}
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z = np.asarray(b.column(at).flatten(), float).reshape(b.num_rows, -1)
+            if not controlled:
+                z = operator.inverse_step(z, **how) if back else operator.advance(z, **how)
+            else:
+                us = np.asarray(b.column(from_u).flatten(), float).reshape(b.num_rows, -1)
+                # rows of one control make one step
+                each, which = np.unique(us, axis=0, return_inverse=True)
+                out = np.empty_like(z)
+                for i, own in enumerate(each):
+                    rows = which.ravel() == i
+                    out[rows] = operator.inverse_step(z[rows], own, **how) if back else operator.advance(z[rows], own, **how)
+                z = out
+            f = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, z.shape[1], dtype=np.int32)), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([f if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+
+    return snap.mapInArrow(run, snap.schema)
+
+
 def eigenvalue_penalty(operator, adjacency: np.ndarray | None = None) -> float:
     """What spectral radii over 1 (real parts over 0) cost."""
     if isinstance(operator, GraphOperator):

@@ -522,41 +522,6 @@ def pooled_forecast(spark, d):
     return Hierarchical(GraphModel(), [1.0, 0.0], 0.4).fit(f).predict(f.slice(f.num_timesteps - 1, f.num_timesteps), 3).select("h", "node", "f")
 
 
-@query()
-def kalman_filter(spark, d):
-    from nodalis.operators.estimation import Observer
-
-    return Observer([[0.95]], 0.01, 0.1).filter(_channel(tables.trade(spark, d)))
-
-
-@query()
-def kalman_smooth(spark, d):
-    from nodalis.operators.estimation import Observer
-
-    return Observer([[0.95]], 0.01, 0.1).smooth(_channel(tables.trade(spark, d)))
-
-
-@query()
-def kalman_impute(spark, d):
-    from nodalis.operators.estimation import Observer
-
-    return Observer([[0.9]], 1.0, 0.1).impute(_channel(tables.users(spark, d)))
-
-
-@query()
-def recursive_fit(spark, d):
-    from nodalis.operators.estimation import recursive_fit as run
-
-    return run(tables.trade(spark, d), 0.99)
-
-
-@query()
-def node_spectra(spark, d):
-    from nodalis.operators.estimation import node_dmd
-
-    return node_dmd(tables.trade(spark, d))
-
-
 @query()
 def attention_encoding(spark, d):
     from nodalis.operators.nets import GraphNet, encode

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from nodalis.plans import graph_queries as G
+from nodalis.plans import operator_queries as O
 
 DATA = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -31,6 +32,10 @@ def norm(v):
     return (2, str(v))
 
 
+def test_operator_queries_are_registered():
+    assert G.QUERIES["loss_terms"] is O.loss_terms
+
+
 @pytest.mark.parametrize("name", sorted(G.ORACLE))
 def test_query_equals_sql(spark, duck, name):
     got = G.QUERIES[name](spark, DATA)
