@@ -60,6 +60,14 @@ def solve(xx: np.ndarray, xy: np.ndarray, rank: int | None = None) -> np.ndarray
     return v[:, keep] @ ((v[:, keep].T @ xy) / w[keep, None])
 
 
+def powers(k: np.ndarray, n: int) -> list[np.ndarray]:
+    """K, K^2 .. K^n."""
+    out = [np.eye(len(k))]
+    for _ in range(n):
+        out.append(k @ out[-1])
+    return out[1:]
+
+
 class LinearModel:
     """Common part of fitted linear forecasters."""
 
@@ -94,13 +102,27 @@ class LinearModel:
     def spectrum(self) -> Spectrum:
         return compute_spectrum(self._fitted(), self.time_step)
 
-    def _forecast(self, origins: DataFrame, states) -> DataFrame:
-        """(traj, origin, h, node, f) from (traj, t, x) and (h, Column) states."""
-        n, c = len(self.nodes), self.channels
-        node = F.array(*[F.lit(i) for i in self.nodes])
-        all_ = F.array(*[F.struct(F.lit(h).alias("h"), col.alias("s")) for h, col in states])
-        out = origins.select("traj", F.col("t").alias("origin"), F.explode(all_).alias("e")).select("traj", "origin", "e.h", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.get(node, i).alias("node"), F.slice("e.s", i * c + 1, c).alias("f")))).alias("r"))
-        return out.select("traj", "origin", "h", "r.node", "r.f")
+    def _forecast(self, origins: DataFrame, column: str, maps: list[np.ndarray], push: list[np.ndarray] | None = None) -> DataFrame:
+        """(traj, origin, h, node, f) of ``maps[h - 1]`` times each origin's
+        state, plus ``push[h - 1]``.  The matrices are broadcast (d^2 numbers a
+        horizon, as many as the driver holds), the plan stays small; no shuffle."""
+        nodes, c = np.array(self.nodes, np.int32), self.channels
+        own = origins.sparkSession.sparkContext.broadcast((maps, push))
+
+        def run(batches):
+            maps, push = own.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 64):
+                    b = whole.slice(at, 64)
+                    x = np.asarray(b.column(2).flatten(), float).reshape(b.num_rows, -1)
+                    for h, m in enumerate(maps, 1):
+                        y = x @ m.T + (0 if push is None else push[h - 1])
+                        n = y.size // c
+                        rows = pa.array(np.repeat(np.arange(len(x)), len(nodes)))
+                        f = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, c, dtype=np.int32)), pa.array(y.ravel()))
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.full(n, h, np.int32)), pa.array(np.tile(nodes, len(x))), f], names=["traj", "origin", "h", "node", "f"])
+
+        return origins.select("traj", "t", column).mapInArrow(run, "traj int, origin int, h int, node int, f array<double>")
 
 
 class DMD(LinearModel):
@@ -113,12 +135,8 @@ class DMD(LinearModel):
 
     def predict(self, origins: DataFrame, steps: int) -> DataFrame:
         """Forecasts of 1 .. steps from (traj, t, node, f) origins: K^h once each on
-        the driver, one product a row and horizon in the JVM."""
-        k, power, states = self._fitted(), np.eye(len(self.operator)), []
-        for h in range(1, steps + 1):
-            power = k @ power
-            states.append((h, V.matvec(power, "x")))
-        return self._forecast(Frames(origins, origins).wide(), states)
+        the driver, one product a batch and horizon."""
+        return self._forecast(Frames(origins, origins).wide(), "x", powers(self._fitted(), steps))
 
 
 class DMDc(LinearModel):
@@ -140,11 +158,10 @@ class DMDc(LinearModel):
         if len(controls) != steps:
             raise ValueError("one control for each step is needed")
         k = self._fitted()
-        power, push, states = np.eye(len(k)), np.zeros(len(k)), []
-        for h, u in enumerate(controls, 1):
-            power, push = k @ power, k @ push + np.asarray(u, float) @ self.control
-            states.append((h, V.add(V.matvec(power, "x"), F.array(*[F.lit(float(v)) for v in push]))))
-        return self._forecast(Frames(origins, origins).wide(), states)
+        push = [np.zeros(len(k))]
+        for u in controls:
+            push.append(k @ push[-1] + np.asarray(u, float) @ self.control)
+        return self._forecast(Frames(origins, origins).wide(), "x", powers(k, steps), push[1:])
 
 
 class EDMD(LinearModel):
@@ -184,11 +201,8 @@ class EDMD(LinearModel):
         return self
 
     def predict(self, origins: DataFrame, steps: int) -> DataFrame:
-        k, power, states = self._fitted(), np.eye(len(self.operator)), []
-        for h in range(1, steps + 1):
-            power = k @ power
-            states.append((h, V.matvec(self.back @ power, "o")))
-        return self._forecast(Frames(origins, origins).wide().withColumn("o", self._lift("x")), states)
+        maps = [self.back @ p for p in powers(self._fitted(), steps)]
+        return self._forecast(Frames(origins, origins).wide().withColumn("o", self._lift("x")), "o", maps)
 
 
 def graph_least_squares(frames: Frames) -> DataFrame:

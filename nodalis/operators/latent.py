@@ -445,6 +445,54 @@ class GraphOperator:
         return compute_spectrum(self.effective_matrix(adjacency), time_step)
 
 
+def constrain(operator: DiscreteOperator, target: np.ndarray, weight: np.ndarray, dt: float | None = None, steps: int = 100) -> float:
+    """Sets the operator's parameters so that its matrix (its step of ``dt``) is
+    nearest to ``target`` in the metric of ``weight``, the Gram matrix of the
+    states: the least-squares fit of one step within the parameterization.
+    Damped Gauss-Newton on the parameters, all of them small matrices on the
+    driver.  Returns the squared distance that is left."""
+    if operator.kind == "dissipative":  # at its own start small factors have hardly a slope
+        w, q = np.linalg.eigh((target + target.T) / 2)
+        loss = (q * np.maximum(-np.log(np.clip(w, 1e-9, None)) / (dt or 1.0) - LEAST_DISSIPATION, 1e-6)) @ q.T
+        low = np.linalg.cholesky(loss)
+        operator.params["low"] = np.tril(low, -1) + np.diag(np.log(np.expm1(np.maximum(np.diag(low) - LEAST_DISSIPATION, 1e-6))))
+    names = sorted(operator.params)
+    shapes = [operator.params[k].shape for k in names]
+    root = np.linalg.cholesky(weight + 1e-12 * np.trace(weight) / len(weight) * np.eye(len(weight)))
+
+    def put(v: np.ndarray) -> None:
+        at = 0
+        for k, shape in zip(names, shapes, strict=True):
+            n = int(np.prod(shape))
+            operator.params[k] = v[at : at + n].reshape(shape)
+            at += n
+
+    def rest(v: np.ndarray) -> np.ndarray:
+        put(v)
+        m = operator.matrix() if dt is None else operator.transition(dt)
+        return ((m - target) @ root).ravel()
+
+    v = np.concatenate([operator.params[k].ravel() for k in names])
+    r, damp = rest(v), 1e-2
+    for _ in range(steps):
+        jac = np.stack([(rest(v + 1e-6 * e) - r) / 1e-6 for e in np.eye(len(v))], axis=1)
+        normal, slope = jac.T @ jac, jac.T @ r
+        while damp < 1e8:
+            move = np.linalg.solve(normal + damp * (np.diag(np.diag(normal)) + 1e-9 * np.eye(len(v))), -slope)
+            new = rest(v + move)
+            if new @ new < r @ r:
+                break
+            damp *= 4
+        else:
+            break
+        done = r @ r - new @ new < 1e-14 * (1 + r @ r)
+        v, r, damp = v + move, new, max(damp / 5, 1e-12)
+        if done:
+            break
+    put(v)
+    return float(r @ r)
+
+
 def advance_rows(operator: DiscreteOperator, snap: DataFrame, u: str = "u", dt: float | None = None, back: bool = False) -> DataFrame:
     """``snap`` (.., f) with each row's step, or its inverse, for operators whose
     matrix depends on the row: bilinear controls (array column ``u``) and

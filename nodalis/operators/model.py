@@ -19,7 +19,7 @@ from nodalis.operators import metrics
 from nodalis.operators.estimation import RecursiveFit
 from nodalis.operators.fit import gram, save_matrix
 from nodalis.operators.frames import Frames
-from nodalis.operators.latent import ContinuousOperator, Control, DiscreteOperator, increments, rollout, rollout_at
+from nodalis.operators.latent import DISCRETE, ContinuousOperator, Control, DiscreteOperator, constrain, increments, rollout, rollout_at
 from nodalis.operators.nets import GraphNet, encode
 from nodalis.operators.spectrum import Spectrum
 from nodalis.operators.topology import concatenated, observable, topk_pool, unpool
@@ -38,10 +38,13 @@ def ridge(rows: DataFrame, left: str, right: str, penalty: float) -> tuple[np.nd
 class GraphModel:
     """x -> [x | observables | network] -> K -> linear decoder."""
 
-    def __init__(self, time_step: float = 1.0, observables: Sequence[str | Callable] = (), network: GraphNet | None = None, delays: int = 1, penalty: float = 1e-6, dynamics: str = "discrete"):
+    def __init__(self, time_step: float = 1.0, observables: Sequence[str | Callable] = (), network: GraphNet | None = None, delays: int = 1, penalty: float = 1e-6, dynamics: str = "discrete", kind: str = "dense", bound: float = 1.0):
         if time_step <= 0 or delays < 1 or penalty < 0 or dynamics not in ("discrete", "continuous"):
             raise ValueError("time step, delays, penalty or dynamics out of range")
         self.time_step, self.observables, self.network, self.delays, self.penalty, self.dynamics = time_step, list(observables), network, delays, penalty, dynamics
+        if kind not in DISCRETE:
+            raise ValueError(f"no closed or constrained fit of {kind!r}")
+        self.kind, self.bound = kind, bound
         self.operator: DiscreteOperator | None = None
         self.decoder: np.ndarray | None = None
         self.history = History()
@@ -79,14 +82,24 @@ class GraphModel:
         if u:
             on = ["traj", "t"] if frames.ctrl.where("node is not null").limit(1).count() == 0 else ["traj", "t", "node"]
             rows = rows.join(frames.ctrl.select(*on, "u"), on).withColumn("x", F.concat("x", "u"))
-        a, _ = ridge(rows, "x", "y", self.penalty)
+        xx, xy, _ = gram(rows, "x", "y")
+        xx = xx + self.penalty * np.eye(len(xx))
+        a = np.linalg.solve(xx, xy)
         d = a.shape[1]
         control = Control(u, latent=d, b=a[d:] if u else None)
-        if self.dynamics == "continuous":
-            self.operator = ContinuousOperator(d, "dense", control=control)
+        make = ContinuousOperator if self.dynamics == "continuous" else DiscreteOperator
+        self.operator = make(d, self.kind, self.bound, control=control)
+        if self.kind != "dense":
+            # with controls the states' metric is what the controls leave of it
+            left = xx[:d, :d] - xx[:d, d:] @ np.linalg.solve(xx[d:, d:], xx[d:, :d]) if u else xx
+            constrain(self.operator, a[:d].T, left, self.time_step if self.dynamics == "continuous" else None)
+            step = self.operator.transition(self.time_step) if self.dynamics == "continuous" else self.operator.matrix()
+            if u:
+                control.b = np.linalg.solve(xx[d:, d:], xy[d:] - xx[d:, :d] @ step.T)
+            a = np.r_[step.T, control.b] if u else step.T
+        elif self.dynamics == "continuous":
             self.operator.set_discrete(a[:d].T, self.time_step)
         else:
-            self.operator = DiscreteOperator(d, "dense", control=control)
             self.operator.set_dense(a[:d].T)
         both = z.join(frames.snap.select("traj", "t", "node", F.col("f").alias("y")), ["traj", "t", "node"])
         self.decoder = ridge(both, "f", "y", self.penalty)[0].T
@@ -151,9 +164,11 @@ class GraphModel:
             raise ValueError("observables of your own can't be saved; pass them to load")
         op = self._fitted().operator
         net = None if self.network is None else {"kind": self.network.kind, "activation": self.network.activation, "layers": [{k: v.tolist() for k, v in p.items()} for p in self.network.layers], "out": self.network.out, "channels": self.network.channels}
-        meta = {"format": FORMAT, "time_step": self.time_step, "observables": self.observables, "delays": self.delays, "penalty": self.penalty, "dynamics": self.dynamics, "control": op.control.dim, "network": net}
+        meta = {"format": FORMAT, "time_step": self.time_step, "observables": self.observables, "delays": self.delays, "penalty": self.penalty, "dynamics": self.dynamics, "control": op.control.dim, "kind": op.kind, "bound": op.radius, "network": net}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
-        m = save_matrix(spark, "operator", op.params["m"]).unionByName(save_matrix(spark, "decoder", self.decoder))
+        m = save_matrix(spark, "decoder", self.decoder)
+        for name, own in op.params.items():
+            m = m.unionByName(save_matrix(spark, f"operator.{name}", own))
         if op.control.dim:
             m = m.unionByName(save_matrix(spark, "control", op.control.b))
         m.coalesce(1).write.mode("overwrite").parquet(f"{folder}/matrices")
@@ -163,23 +178,24 @@ class GraphModel:
         meta = json.loads(spark.read.text(f"{folder}/metadata").first().value)
         if meta.get("format") != FORMAT:
             raise ValueError(f"unknown model format {meta.get('format')!r}")
-        if missing := {"time_step", "observables", "delays", "penalty", "dynamics", "control", "network"} - set(meta):
+        if missing := {"time_step", "observables", "delays", "penalty", "dynamics", "control", "kind", "bound", "network"} - set(meta):
             raise ValueError(f"the model lacks {sorted(missing)}")
         net = None
         if meta["network"]:
             n = meta["network"]
             net = GraphNet(n["kind"], n["channels"], 1, n["out"], 1, n["activation"])
             net.layers = [{k: np.array(v) for k, v in p.items()} for p in n["layers"]]
-        self = cls(meta["time_step"], observables or meta["observables"], net, meta["delays"], meta["penalty"], meta["dynamics"])
+        self = cls(meta["time_step"], observables or meta["observables"], net, meta["delays"], meta["penalty"], meta["dynamics"], meta["kind"], meta["bound"])
         mats = {}
         for name, g in spark.read.parquet(f"{folder}/matrices").toPandas().groupby("name"):
             m = np.zeros((g.i.max() + 1, g.j.max() + 1))
             m[g.i, g.j] = g.v
             mats[name] = m
-        d = len(mats["operator"])
+        d = mats["decoder"].shape[1]
         kind = ContinuousOperator if self.dynamics == "continuous" else DiscreteOperator
-        self.operator = kind(d, "dense", control=Control(meta["control"], latent=d, b=mats.get("control")))
-        self.operator.set_dense(mats["operator"])
+        self.operator = kind(d, meta["kind"], meta["bound"], control=Control(meta["control"], latent=d, b=mats.get("control")))
+        # vectors were written as matrices of one row
+        self.operator.params = {k: mats[f"operator.{k}"].reshape(np.shape(v)) for k, v in self.operator.params.items()}
         self.decoder = mats["decoder"]
         return self
 

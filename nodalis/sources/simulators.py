@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodalis import schema
@@ -173,6 +173,14 @@ def kuramoto_path(u: np.ndarray, steps: int, length: float = 22.0, dt: float = 0
     return np.array(out)
 
 
+def kuramoto_start(n: int, length: float = 22.0, r: np.random.Generator | None = None) -> np.ndarray:
+    """One wave with small noise, or with a small modulation where there is no
+    generator."""
+    x = length * np.arange(n) / n
+    wave = np.cos(2 * np.pi * x / length)
+    return wave * (1 + 0.1 * np.sin(x)) if r is None else wave + 0.01 * r.normal(size=n)
+
+
 def trajectories(spark: SparkSession, seeds: list[int], n: int, steps: int, kind: str = "lorenz96", **how) -> DataFrame:
     """(traj, t, node, f) of chaotic systems, one Arrow call for each trajectory."""
 
@@ -182,14 +190,27 @@ def trajectories(spark: SparkSession, seeds: list[int], n: int, steps: int, kind
             x = np.full(n, how.get("force", 8.0))
             path = lorenz96_path(x + 0.01 * r.normal(size=n), steps, **how)
         else:
-            grid_ = np.arange(n) / n
-            path = kuramoto_path(np.cos(2 * np.pi * grid_) * (1 + np.sin(2 * np.pi * grid_)) + 0.01 * r.normal(size=n), steps, **how)
+            path = kuramoto_path(kuramoto_start(n, how.get("length", 22.0), r), steps, **how)
         t, i = np.divmod(np.arange(path.size), n)
         return pd.DataFrame({"traj": int(pdf.traj.iloc[0]), "t": t, "node": i, "f": [[v] for v in path.ravel()]})
 
     return spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "traj int, seed long").groupBy("traj").applyInPandas(one, schema.SNAP)
 
 
+# Fixed values of the wake: first amplitude; depth and width of the mean deficit;
+# width, wave number and onset of the two modes.
+WAKE_START = 0.05 + 0.02j
+WAKE_DEPTH, WAKE_WIDTH = 0.35, 1.2
+MODE_WIDTH, MODE_NUMBER, MODE_ONSET = 1.4, 0.9, 0.5
+
+
+def wake_field(x: Column, y: Column, re: Column, im: Column) -> Column:
+    """The mean wake and two modes by their amplitudes."""
+    gate = lambda v: 1 / (1 + F.exp(-v))
+    env = F.exp(-F.pow(y / MODE_WIDTH, 2)) * gate(x + MODE_ONSET)
+    return -WAKE_DEPTH * F.exp(-F.pow(y / WAKE_WIDTH, 2)) * gate(x) + env * (re * F.sin(MODE_NUMBER * x) + im * F.cos(MODE_NUMBER * x))
+
+
 def wake(spark: SparkSession, n: int = 72, steps: int = 120, dt: float = 0.15, omega: float = 0.8, mu: float = 0.15, seed: int = 0) -> Frames:
     """A field of a mean and two modes whose complex amplitude follows the
     Stuart-Landau equation, on a mesh of 6 nearest neighbours around a cylinder."""
@@ -200,13 +221,12 @@ def wake(spark: SparkSession, n: int = 72, steps: int = 120, dt: float = 0.15, o
         if x * x + y * y > 0.25:
             points.append((len(points), [float(x), float(y)]))
     mesh = spark.createDataFrame(points, "node long, x array<double>")
-    z, amps = 0.1 + 0j, []
+    z, amps = WAKE_START, []
     for t in range(steps):
         amps.append((t, z.real, z.imag))
         z += dt * ((mu + 1j * omega) * z - abs(z) ** 2 * z)
     a = spark.createDataFrame(amps, "t int, re double, im double")
-    x, y = F.col("x")[0], F.col("x")[1]
-    env = F.exp(-y * y) * F.when(x > 0, 1.0).otherwise(0.2)
-    snap = mesh.crossJoin(F.broadcast(a)).select(F.lit(0).alias("traj"), "t", F.col("node").cast("int").alias("node"), F.array(1 - F.exp(-y * y) * 0.5 + F.col("re") * F.cos(omega * x) * env + F.col("im") * F.sin(omega * x) * env).alias("f"))
+    field = wake_field(F.col("x")[0], F.col("x")[1], F.col("re"), F.col("im"))
+    snap = mesh.crossJoin(F.broadcast(a)).select(F.lit(0).alias("traj"), "t", F.col("node").cast("int").alias("node"), F.array(field).alias("f"))
     e = knn_edges(mesh, 6).select(F.lit(0).alias("traj"), F.lit(None).cast("int").alias("t"), F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.lit(1.0).alias("w"))
     return Frames(snap, e)

@@ -609,3 +609,94 @@ def test_dense_index_equals_a_global_sort(spark):
         got = [q.i for q in dense_index(df, "k", ("i",), "n", buckets).orderBy("n").collect()]
         assert got == want
     assert dense_index(df.where("false"), "k", ("i",)).count() == 0
+
+
+# --- constrained fits, forecasts and sources by their numbers -------------------------------
+
+
+@pytest.mark.parametrize("kind", ["odo", "schur", "dissipative", "lyapunov"])
+def test_constrained_operators_are_fitted_and_saved(spark, tmp_path, kind):
+    r = np.random.default_rng(3)
+    source = latent.DiscreteOperator(2, kind, 0.9, seed=5, scale=0.6)
+    k = source.matrix()
+    x = [r.normal(size=(6, 2))]
+    for _ in range(8):
+        x.append(x[-1] @ k.T)
+    f = from_arrays(spark, [a.tolist() for a in x], [(0, 1), (1, 0)])
+    m = model.GraphModel(penalty=1e-12, kind=kind, bound=0.9).fit(f)
+    assert np.allclose(m.operator.matrix(), k, atol=1e-4)
+    m.save(spark, f"{tmp_path}/{kind}")
+    again = model.GraphModel.load(spark, f"{tmp_path}/{kind}")
+    assert again.operator.kind == kind and np.allclose(again.operator.matrix(), m.operator.matrix(), atol=1e-15)
+    assert again.operator.bound() <= 1
+
+
+def test_a_growing_system_is_held_under_the_bound(spark):
+    k = np.array([[1.1, 0.3], [-0.2, 0.9]])
+    x = [np.random.default_rng(1).normal(size=(20, 2))]
+    for _ in range(3):
+        x.append(x[-1] @ k.T)
+    f = from_arrays(spark, [a.tolist() for a in x], [(0, 1)])
+    m = model.GraphModel(kind="schur", bound=0.8).fit(f)
+    assert m.operator.spectral_radius() <= 0.8 + 1e-9
+    pairs = np.concatenate(x[:-1]), np.concatenate(x[1:])
+    loss = lambda a: ((pairs[1] - pairs[0] @ a.T) ** 2).sum()
+    assert loss(m.operator.matrix()) < loss(0.8 * np.eye(2))
+    c = model.GraphModel(dynamics="continuous", kind="schur", time_step=0.5).fit(f)
+    assert c.operator.max_real() < 0
+
+
+def test_dmd_forecasts_equal_matrix_powers(spark):
+    r = np.random.default_rng(2)
+    x, u = r.normal(size=(30, 3, 2)), r.normal(size=(30, 2))
+    f = from_arrays(spark, x.tolist(), [(0, 1)], controls=u.tolist())
+    flat = x.reshape(30, 6)
+    plain = np.linalg.lstsq(flat[:-1], flat[1:], rcond=None)[0]
+    got = {(g.origin, g.h, g.node): g.f for g in fit.DMD().fit(f).predict(f.snap, 3).collect()}
+    assert len(got) == 30 * 3 * 3
+    for (o, h, n), v in got.items():
+        assert np.allclose(v, (flat[o] @ np.linalg.matrix_power(plain, h)).reshape(3, 2)[n], atol=1e-8)
+    both = np.linalg.lstsq(np.c_[flat[:-1], u[:-1]], flat[1:], rcond=None)[0]
+    push = [[0.5, -1.0], [1.0, 2.0]]
+    got = {(g.origin, g.h, g.node): g.f for g in fit.DMDc().fit(f).predict(f.snap, 2, push).collect()}
+    for o in (0, 7, 29):
+        s = flat[o]
+        for h, p in enumerate(push, 1):
+            s = s @ both[:6] + np.array(p) @ both[6:]
+            assert all(np.allclose(got[o, h, n], s.reshape(3, 2)[n], atol=1e-8) for n in range(3))
+
+
+def test_sources_have_the_fixed_starts(spark):
+    w = simulators.wake(spark, 12, 3, seed=4)
+    z = [0.05 + 0.02j]
+    for _ in range(2):
+        z.append(z[-1] + 0.15 * ((0.15 + 0.8j) * z[-1] - abs(z[-1]) ** 2 * z[-1]))
+    r, mesh = np.random.default_rng(4), []
+    while len(mesh) < 12:
+        x, y = r.uniform(-1.5, 8.5), r.uniform(-2.5, 2.5)
+        if x * x + y * y > 0.25:
+            mesh.append((x, y))
+    gate = lambda v: 1 / (1 + math.exp(-v))
+    for row in w.snap.collect():
+        x, y = mesh[row.node]
+        env = math.exp(-((y / 1.4) ** 2)) * gate(x + 0.5)
+        want = -0.35 * math.exp(-((y / 1.2) ** 2)) * gate(x) + env * (z[row.t].real * math.sin(0.9 * x) + z[row.t].imag * math.cos(0.9 * x))
+        assert math.isclose(row.f[0], want, abs_tol=1e-12)
+    u = simulators.kuramoto_start(8, 22.0)
+    assert np.allclose(u, [math.cos(math.pi * i / 4) * (1 + 0.1 * math.sin(22 * i / 8)) for i in range(8)])
+    assert np.abs(simulators.kuramoto_start(64, 22.0, np.random.default_rng(0)) - np.cos(2 * np.pi * np.arange(64) / 64)).max() < 0.05
+
+
+def test_row_wise_inverses_take_steps_back(spark):
+    r = np.random.default_rng(7)
+    rows = [(0, t, n, r.normal(size=2).tolist(), r.normal(size=2).tolist()) for t in range(3) for n in range(4)]
+    df = spark.createDataFrame(rows, "traj int, t int, node int, f array<double>, u array<double>")
+    for mode in ("additive", "bilinear"):
+        c = latent.Control(2, mode, None, 2, r.normal(size=(2, 2)), 0.1 * r.normal(size=(2, 2, 2)) if mode == "bilinear" else None)
+        for op, how in ((latent.DiscreteOperator(2, "odo", control=c), {}), (latent.ContinuousOperator(2, "schur", control=c), {"dt": 0.3})):
+            there = latent.advance_rows(op, df, **how)
+            back = {(x.t, x.node): x.f for x in latent.advance_rows(op, there, back=True, **how).collect()}
+            assert all(np.allclose(back[t, n], f, atol=1e-9) for _, t, n, f, _ in rows)
+    aux = latent.ContinuousOperator(2, "auxiliary_spectral", hidden=(3,), init="xavier")
+    got = {(x.t, x.node): x.f for x in latent.advance_rows(aux, df, dt=0.2).collect()}
+    assert all(np.allclose(got[t, n], aux.advance(np.array([f]), dt=0.2)[0]) for _, t, n, f, _ in rows)
