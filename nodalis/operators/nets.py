@@ -1,4 +1,5 @@
-"""Graph networks and graph forecasters, forward pass only (NumPy).
+"""Graph networks and graph forecasters in NumPy; ``learning`` trains them by
+running the same code on the nodes of a tape.
 
 A layer maps features (N x C) of one graph; messages run from src to dst.
 ``encode`` applies a stack to every (trajectory, step) of a sequence in one Arrow
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from nodalis import schema
+from nodalis.functions.tape import Node, value
 from nodalis.operators.frames import Frames
 
 MAX_EDGES = 5_000_000
@@ -20,15 +22,17 @@ ACTIVATIONS = {"relu": lambda x: np.maximum(x, 0), "tanh": np.tanh, "elu": lambd
 KINDS = ("gcn", "gat", "sage", "transformer", "diffusion")
 
 
-def _sum(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def _sum(values, at: np.ndarray, n: int):
+    if isinstance(values, Node):
+        return values.scatter(at, n)
     out = np.zeros((n, *values.shape[1:]))
     np.add.at(out, at, values)
     return out
 
 
-def _softmax(score: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def _softmax(score, at: np.ndarray, n: int):
     top = np.full((n, *score.shape[1:]), -np.inf)
-    np.maximum.at(top, at, score)
+    np.maximum.at(top, at, value(score))
     e = np.exp(score - top[at])
     return e / _sum(e, at, n)[at]
 
@@ -170,9 +174,9 @@ class DiffusionGRU:
         mix = lambda v, p: np.einsum("knm,mc,kco->no", s, v, p["w"]) + p["b"]
         h = np.zeros((x.shape[1], self.hidden))
         for v in x:
-            both = np.c_[v, h]
+            both = np.concatenate([v, h], 1)
             r, z = _sigmoid(mix(both, self.p["reset"])), _sigmoid(mix(both, self.p["update"]))
-            h = z * h + (1 - z) * np.tanh(mix(np.c_[v, r * h], self.p["new"]))
+            h = z * h + (1 - z) * np.tanh(mix(np.concatenate([v, r * h], 1), self.p["new"]))
         return h @ self.out
 
 
