@@ -3,17 +3,20 @@ running the same code on the nodes of a tape.
 
 A layer maps features (N x C) of one graph; messages run from src to dst.
 ``encode`` applies a stack to every (trajectory, step) of a sequence in one Arrow
-call each; the static edge list is shipped to the workers after its size is
-checked (MAX_EDGES).
+call each, with the static edge list shipped to the workers if it has MAX_EDGES
+edges at most; larger or changing topologies go through ``encode_joined``, the
+same layers as edge joins and aggregations.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from nodalis import schema
+from nodalis.functions import vectors as V
 from nodalis.functions.tape import Node, value
 from nodalis.operators.frames import Frames
 
@@ -136,13 +139,15 @@ def _edge_arrays(frames: Frames):
     if frames.dynamic:
         raise ValueError("a static topology is needed")
     if frames.edges.count() > MAX_EDGES:
-        raise ValueError(f"more than {MAX_EDGES} edges: encode with edge joins instead")
+        raise ValueError(f"more than {MAX_EDGES} edges: use encode_joined")
     e = frames.edges.select("src", "dst", "w").toPandas()
     return e.src.to_numpy(), e.dst.to_numpy(), e.w.fillna(1.0).to_numpy()
 
 
 def encode(net, frames: Frames) -> DataFrame:
     """(traj, t, node, f): the stack's output at every step."""
+    if isinstance(net, GraphNet) and (frames.dynamic or frames.edges.count() > MAX_EDGES):
+        return encode_joined(net, frames)
     src, dst, w = _edge_arrays(frames)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,6 +158,127 @@ def encode(net, frames: Frames) -> DataFrame:
     return frames.snap.groupBy("traj", "t").applyInPandas(one, schema.SNAP)
 
 
+# --- the layers as joins ------------------------------------------------------------------
+
+
+def _added(n: int, value: Column) -> Column:
+    """Sums of an array column's entries over a group."""
+    return F.array(*[F.sum(value[i]) for i in range(n)])
+
+
+class Joined:
+    """Edge joins of one sequence: ``edges`` (traj, [t,] src, dst, w)."""
+
+    def __init__(self, frames: Frames):
+        self.on = ["traj", "t"] if frames.dynamic else ["traj"]
+        self.edges = frames.edges.select(*self.on, "src", "dst", F.coalesce("w", F.lit(1.0)).alias("w"))
+
+    def degree(self, end: str, weighted: bool = True) -> DataFrame:
+        return self.edges.groupBy(*self.on, end).agg((F.sum("w") if weighted else F.count("*").cast("double")).alias(f"{end}_n"))
+
+    def ends(self, snap: DataFrame, *columns: str) -> DataFrame:
+        """One row for each edge and step, with both ends' columns (s_.., d_..)."""
+        a = snap.select("traj", "t", F.col("node").alias("src"), *[F.col(c).alias(f"s_{c}") for c in columns])
+        b = snap.select("traj", "t", F.col("node").alias("dst"), *[F.col(c).alias(f"d_{c}") for c in columns])
+        return self.edges.join(a, [*self.on, "src"]).join(b, ["traj", "t", "dst"])
+
+    def onto(self, snap: DataFrame, sums: DataFrame, node: str = "dst") -> DataFrame:
+        return snap.join(sums.withColumnRenamed(node, "node"), ["traj", "t", "node"], "left")
+
+    def walk(self, snap: DataFrame, n: int, forward: bool) -> DataFrame:
+        """One step of a random walk of the features: each node's from where its
+        edges lead (or come from), by their share of its weight."""
+        here, there = ("src", "dst") if forward else ("dst", "src")
+        e = self.edges.join(self.degree(here), [*self.on, here]).withColumn("w", F.col("w") / F.greatest(F.col(f"{here}_n"), F.lit(1e-6)))
+        far = snap.select("traj", "t", F.col("node").alias(there), "f")
+        sums = e.join(far, [*self.on, there]).groupBy("traj", "t", here).agg(_added(n, V.scale("f", F.col("w"))).alias("_s"))
+        out = self.onto(snap.select("traj", "t", "node"), sums, here)
+        return out.select("traj", "t", "node", F.coalesce("_s", V.zeros(n)).alias("f"))
+
+    def gcn(self, snap: DataFrame, p: dict) -> DataFrame:
+        n = p["w"].shape[1]
+        deg = self.degree("dst")
+        r = lambda c: 1 / F.sqrt(1 + F.coalesce(F.col(c), F.lit(0.0)))
+        both = self.edges.join(deg, [*self.on, "dst"]).join(deg.withColumnRenamed("dst", "src").withColumnRenamed("dst_n", "src_n"), [*self.on, "src"], "left")
+        both = both.withColumn("w", F.col("w") * r("src_n") * r("dst_n"))
+        h = snap.withColumn("h", V.matvec(p["w"].T, "f"))
+        far = h.select("traj", "t", F.col("node").alias("src"), F.col("h").alias("s_h"))
+        sums = both.join(far, [*self.on, "src"]).groupBy("traj", "t", "dst").agg(_added(n, V.scale("s_h", F.col("w"))).alias("_s"), F.first("dst_n").alias("_d"))
+        own = V.scale("h", 1 / (1 + F.coalesce("_d", F.lit(0.0))))
+        return self.onto(h, sums).select("traj", "t", "node", V.add(V.add(own, F.coalesce("_s", V.zeros(n))), _constant(p["b"])).alias("f"))
+
+    def sage(self, snap: DataFrame, p: dict) -> DataFrame:
+        n = len(p["w"])
+        sums = self.ends(snap, "f").groupBy("traj", "t", "dst").agg(_added(n, F.col("s_f")).alias("_s"), F.count("*").alias("_n"))
+        mean = V.scale(F.coalesce("_s", V.zeros(n)), 1 / F.greatest(F.coalesce("_n", F.lit(0)), F.lit(1)))
+        return self.onto(snap, sums).select("traj", "t", "node", V.add(V.add(V.matvec(p["w"].T, mean), V.matvec(p["own"].T, "f")), _constant(p["b"])).alias("f"))
+
+    def attention(self, snap: DataFrame, score, message, heads: int, n: int, *columns: str, itself: bool) -> DataFrame:
+        """(.., _a): of each node the heads' mean of messages weighed by a softmax of
+        scores over its in-edges (and itself)."""
+        rows = self.ends(snap, *columns)
+        if itself:
+            own = [F.col(c).alias(f"{e}_{c}") for e in "sd" for c in columns]
+            rows = rows.select("traj", "t", "dst", "w", *[f"{e}_{c}" for e in "sd" for c in columns]).unionByName(snap.select("traj", "t", F.col("node").alias("dst"), F.lit(1.0).alias("w"), *own))
+        rows = rows.select("traj", "t", "dst", F.array(*[score(k) for k in range(heads)]).alias("e"), F.array(*[message(k) for k in range(heads)]).alias("m"))
+        top = rows.groupBy("traj", "t", "dst").agg(F.array(*[F.max(F.col("e")[k]) for k in range(heads)]).alias("top"))
+        rows = rows.join(top, ["traj", "t", "dst"]).withColumn("e", F.zip_with("e", "top", lambda a, b: F.exp(a - b)))
+        parts = [F.sum(F.col("e")[k]).alias(f"_n{k}") for k in range(heads)] + [_added(n, V.scale(F.col("m")[k], F.col("e")[k])).alias(f"_m{k}") for k in range(heads)]
+        sums = rows.groupBy("traj", "t", "dst").agg(*parts)
+        total = None
+        for k in range(heads):
+            each = V.scale(F.col(f"_m{k}"), 1 / (heads * F.col(f"_n{k}")))
+            total = each if total is None else V.add(total, each)
+        return self.onto(snap, sums.select("traj", "t", "dst", total.alias("_a")))
+
+    def gat(self, snap: DataFrame, p: dict) -> DataFrame:
+        heads, _, n = p["w"].shape
+        h = snap.withColumn("h", F.array(*[V.matvec(p["w"][k].T, "f") for k in range(heads)]))
+
+        def score(k):
+            e = V.dot(F.col("s_h")[k], _constant(p["from"][k])) + V.dot(F.col("d_h")[k], _constant(p["to"][k]))
+            return F.when(e > 0, e).otherwise(0.2 * e)
+
+        out = self.attention(h, score, lambda k: F.col("s_h")[k], heads, n, "h", itself=True)
+        return out.select("traj", "t", "node", V.add("_a", _constant(p["b"])).alias("f"))
+
+    def transformer(self, snap: DataFrame, p: dict) -> DataFrame:
+        heads, _, n = p["q"].shape
+        h = snap.select("*", *[F.array(*[V.matvec(p[m][k].T, "f") for k in range(heads)]).alias(m) for m in "qkv"])
+        edge = (lambda k: V.scale(_constant(p["edge"][k]), F.col("w"))) if "edge" in p else (lambda k: V.zeros(n))
+        score = lambda k: V.dot(F.col("d_q")[k], V.add(F.col("s_k")[k], edge(k))) / float(np.sqrt(n))
+        out = self.attention(h, score, lambda k: V.add(F.col("s_v")[k], edge(k)), heads, n, "q", "k", "v", itself=False)
+        return out.select("traj", "t", "node", V.add(V.add(F.coalesce("_a", V.zeros(n)), V.matvec(p["own"].T, "f")), _constant(p["b"])).alias("f"))
+
+    def diffusion(self, snap: DataFrame, p: dict) -> DataFrame:
+        a, steps = p["w"].shape[1], (len(p["w"]) - 1) // 2
+        out = snap.select("traj", "t", "node", V.add(V.matvec(p["w"][0].T, "f"), _constant(p["b"])).alias("_o"))
+        for way, forward in enumerate((True, False)):
+            here = snap.select("traj", "t", "node", "f")
+            for k in range(steps):
+                here = self.walk(here, a, forward)
+                out = out.join(here, ["traj", "t", "node"]).select("traj", "t", "node", V.add("_o", V.matvec(p["w"][1 + way * steps + k].T, "f")).alias("_o"))
+        return out.withColumnRenamed("_o", "f")
+
+
+def _constant(v: np.ndarray) -> Column:
+    return F.array(*[F.lit(float(x)) for x in v])
+
+
+COLUMNS = {"relu": lambda x: F.greatest(x, F.lit(0.0)), "tanh": F.tanh, "elu": lambda x: F.when(x > 0, x).otherwise(F.expm1(F.least(x, F.lit(0.0)))), "none": lambda x: x}
+
+
+def encode_joined(net: GraphNet, frames: Frames) -> DataFrame:
+    """``encode`` by edge joins: any number of edges, static or changing; what is
+    shuffled is one row for each edge, step and layer."""
+    joined, out = Joined(frames), frames.snap.select("traj", "t", "node", "f")
+    for i, p in enumerate(net.layers):
+        out = getattr(joined, net.kind)(out, p)
+        if i + 1 < len(net.layers):
+            out = out.withColumn("f", F.transform("f", COLUMNS[net.activation]))
+    return out
+
+
 # --- forecasters: x (history x N x C) to the next step's (N x C) -----------------------
 
 

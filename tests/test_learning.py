@@ -113,3 +113,21 @@ def test_examples_leave_out_what_is_missing(spark):
     assert {r.t for r in learning.examples(f, 1, 1).collect()} == {0, 1, 4}
     with pytest.raises(ValueError):
         learning.LearnedModel(2, nets.GraphNet("gcn", 2, 3, 3), nets.GraphNet("gcn", 3, 3, 2))
+
+
+@pytest.mark.parametrize("kind", nets.KINDS)
+def test_joined_layers_equal_the_arrays(spark, kind):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2, 5, 2))  # node 4 has no edge
+    net = nets.GraphNet(kind, 2, 3, 2, heads=2, activation="elu", edge=kind == "transformer", seed=3)
+    f = from_arrays(spark, x.tolist(), EDGES, weights=W.tolist())
+    got = {(q.t, q.node): q.f for q in nets.encode_joined(net, f).collect()}
+    for t in range(2):
+        want = net(x[t], SRC, DST, W)
+        assert all(np.allclose(got[t, n], want[n], atol=1e-9) for n in range(5))
+    other = [EDGES, [(0, 2), (3, 1)]]
+    f = from_arrays(spark, x.tolist(), other)
+    got = {(q.t, q.node): q.f for q in nets.encode(net, f).collect()}
+    for t, e in enumerate(other):
+        a, b = (np.array(v) for v in zip(*e, strict=True))
+        assert all(np.allclose(got[t, n], v, atol=1e-9) for n, v in enumerate(net(x[t], a, b)))
