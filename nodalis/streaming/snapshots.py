@@ -45,21 +45,27 @@ STATE = "blob binary"
 OUT = "traj int, seen long, change double, k array<double>"
 
 
-def adapt(pairs: DataFrame, dim: int, forget: float = 0.99, regularization: float = 1000.0) -> DataFrame:
+def adapt(pairs: DataFrame, dim: int, forget: float = 0.99, regularization: float = 1000.0, idle_ms: int | None = None) -> DataFrame:
     """Recursive least squares as keyed state: (traj, t, node, x, y) rows update
     their trajectory's operator in order of (t, node) within each batch; a row a
-    batch tells the operator and how much it changed."""
+    batch tells the operator and how much it changed.  The state of a trajectory
+    without rows for ``idle_ms`` of processing time goes (None: it stays)."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         r, seen = pickle.loads(state.get[0]) if state.exists else (RecursiveFit(dim, 0, forget, regularization), 0)
         rows = pd.concat(list(frames))
         rows = rows.sort_values(["t", "node"])
         change = r.update(np.array(rows.x.tolist(), float), np.array(rows.y.tolist(), float))
         seen += len(rows)
         state.update((pickle.dumps((r, seen)),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"traj": [key[0]], "seen": [seen], "change": [change], "k": [r.matrix.ravel().tolist()]})
 
-    return pairs.groupBy("traj").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return pairs.groupBy("traj").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
