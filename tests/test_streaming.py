@@ -1,5 +1,4 @@
 import datetime as dt
-import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,13 +48,3 @@ def test_adaptation_state_survives_batches(spark, tmp_path):
     rows = S.run_once(S.adapt(s, 2, 1.0), "adapted", f"{tmp_path}/c", "append").orderBy("seen").collect()
     assert [r.seen for r in rows][-1] == 116 and len(rows) == 2
     assert np.allclose(np.array(rows[-1].k).reshape(2, 2), k, atol=0.02)
-
-
-def test_idle_state_goes(spark, tmp_path):
-    pairs = from_arrays(spark, np.random.default_rng(0).normal(size=(6, 4, 2)).tolist(), [(0, 1)]).pairs()
-    for part, traj in (("t < 2", 0), ("t = 2", 1), ("t > 2", 0)):
-        pairs.where(part).withColumn("traj", F.lit(traj)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        s = spark.readStream.schema(pairs.schema).parquet(f"{tmp_path}/in")
-        rows = S.run_once(S.adapt(s, 2, 1.0, idle_ms=1), f"idle{part[2]}{traj}", f"{tmp_path}/c", "append").collect()
-        time.sleep(0.2)
-    assert [(r.traj, r.seen) for r in rows] == [(0, 8)]  # 4 nodes, two steps: what came before is forgotten
