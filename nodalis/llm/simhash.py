@@ -14,8 +14,10 @@ way down and drops a whole node once they exceed the radius.  Groups above
 GROUP_ROWS are split into pairs of chunks, so none needs one task.
 
 Links within a group are kept as a spanning forest (the least that carries the
-same components): a group of n copies gives n - 1 edges, not n squared.  Only
-near copies whose sketches leave doubt give all their pairs, for an exact check.
+same components): a group of n copies gives n - 1 edges, not n squared.  Near
+copies whose sketches leave doubt are checked exactly along such a forest; where
+an edge is refused, the texts of what it would have joined are compared exactly
+in place, and again only a forest leaves the task.
 
 Two families of masks: ``exact_masks`` (each pair within the radius agrees on
 at least one mask) and ``sampled_masks`` for radii where no small exact family
@@ -220,19 +222,19 @@ def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def forest(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0, sure: float = 0.0) -> list[tuple[int, int, float]]:
     """Edges (numbers of codes, similarity) that join all codes linked within the
     radius; with sketches all those of ``links``."""
-    return [(x, y, w) for block in links(codes, radius, sketches, least, sure) for x, y, w, _ in block]
+    return [edge for block in links(codes, radius, sketches, least, sure) for edge in block]
 
 
 def links(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0, sure: float = 0.0):
-    """Blocks of edges (numbers of codes, similarity, whether to check first):
-    a spanning forest of all codes linked within the radius.  With sketches, an
-    edge needs an estimated similarity of ``least``; those of ``sure`` or more
-    make the forest, and every other pair that it leaves apart is an edge to be
-    checked, the most similar that would join a block's components first."""
+    """Blocks of edges (numbers of codes, similarity): a spanning forest of all
+    codes linked within the radius.  With sketches, an edge needs an estimated
+    similarity of ``least``; those of ``sure`` or more make the forest, and of the
+    doubtful pairs that it leaves apart the most similar ones that join its trees
+    follow, so every doubtful pair's ends are joined by edges."""
     index = GrayIndex(codes)
     n = len(index)
     root = np.arange(n)  # by place in Gray order
-    out: list[tuple[int, int, float, bool]] = []
+    out: list[tuple[int, int, float]] = []
     rest: list[np.ndarray] = []
     kept = 0
 
@@ -250,14 +252,13 @@ def links(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, le
                 return label
             label = up
 
-    def doubtful() -> list[tuple[int, int, float, bool]]:
+    def doubtful() -> list[tuple[int, int, float]]:
         label, e = labels(), np.concatenate(rest, axis=1)
         x, y = e[:2].astype(np.int64)
         apart = label[x] != label[y]
         x, y, w = x[apart], y[apart], e[2][apart]
-        first = np.zeros(len(x), bool)
-        first[most_similar(label, x, y, w)] = True
-        return list(zip(index.order[x].tolist(), index.order[y].tolist(), w.tolist(), first.tolist(), strict=True))
+        best = most_similar(label, x, y, w)
+        return list(zip(index.order[x[best]].tolist(), index.order[y[best]].tolist(), w[best].tolist(), strict=True))
 
     step = 512 if n <= 4096 else 128
     for at in range(0, n, step):
@@ -293,7 +294,7 @@ def links(codes: np.ndarray, radius: int, sketches: np.ndarray | None = None, le
             a, b = find(x), find(y)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                out.append((int(index.order[x]), int(index.order[y]), s, True))
+                out.append((int(index.order[x]), int(index.order[y]), s))
         if kept > DOUBTFUL:
             yield doubtful()
             rest, kept = [], 0
@@ -342,10 +343,9 @@ def _signed(x: int) -> int:
 
 
 def link(codes: DataFrame, masks: list[int], radius: int, least: float | None = None, sure: float = 0.0) -> DataFrame:
-    """Edges (u, v, w, first) between rows of ``codes`` (id long, fp long[,
-    sketch]), whose pairs (fp, sketch) are distinct; w is the estimated
-    similarity, and of those under ``sure`` the ``first`` are to be checked
-    before the others."""
+    """Edges (u, v, w) between rows of ``codes`` (id long, fp long[, sketch]), whose
+    pairs (fp, sketch) are distinct; w is the estimated similarity.  A group of n
+    rows gives a few edges a row at most."""
     spark = codes.sparkSession
     wide = least is not None
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
@@ -365,7 +365,7 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
     def group(ids, fps, sks):
         # equal fingerprints of different sketches (wide only) stay apart in the index by place
         for block in links(fps, radius, sks, least or 0.0, sure):
-            yield [(int(ids[a]), int(ids[b]), w, f) for a, b, w, f in block]
+            yield [(int(ids[a]), int(ids[b]), w) for a, b, w in block]
 
     def run(batches):
         left: pa.Table | None = None
@@ -383,7 +383,7 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
             if wide and len(two):
                 ws = alike(sks[two], sks[two + 1])
                 two, ws = two[ws >= least], ws[ws >= least]
-            out = list(zip(ids[two].tolist(), ids[two + 1].tolist(), ws.tolist(), [True] * len(two), strict=True))
+            out = list(zip(ids[two].tolist(), ids[two + 1].tolist(), ws.tolist(), strict=True))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if e - s > 2:
                     for block in group(ids[s:e], fps[s:e], None if sks is None else sks[s:e]):
@@ -394,8 +394,8 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
             yield batch(out)
 
         def batch(edges: list) -> pa.RecordBatch:
-            u, v, w, f = zip(*edges, strict=True) if edges else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.float64()), pa.array(f, pa.bool_())], names=["u", "v", "w", "first"])
+            u, v, w = zip(*edges, strict=True) if edges else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.float64())], names=["u", "v", "w"])
 
         for b in batches:
             t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
@@ -409,7 +409,7 @@ def link(codes: DataFrame, masks: list[int], radius: int, least: float | None =
         if left is not None and left.num_rows:
             yield from work(left)
 
-    return mapped(dealt, run, "u long, v long, w double, first boolean")
+    return mapped(dealt, run, "u long, v long, w double")
 
 
 def near_groups(fps: DataFrame, radius: int = 3, key: str = "doc_id") -> DataFrame:
@@ -448,16 +448,14 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     codes = cut(fps.groupBy("fp", "sketch").agg(F.min(key).alias("id"), F.count("*").alias("n")))
     differ = math.acos(2 * least / (1 + least)) / math.pi
     masks = sampled_masks(codes.count(), differ, miss)
-    edges = cut(link(codes.where("id is not null").select("id", "fp", "sketch"), masks, radius, least - NEAR_DOUBT, least + NEAR_DOUBT).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w"), F.max("first").alias("first")))
-    doubt = edges.where(F.col("w") < least + NEAR_DOUBT)
-    good = cut(edges.where(F.col("w") >= least + NEAR_DOUBT).select("u", "v").unionByName(checked(doubt.where("first").select("u", "v"), df, key, text, k, least)))
-    found = components(good)
-    # an edge that was refused hides no other: all doubtful pairs still apart are checked
-    a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-    apart = F.coalesce("cu", "u") != F.coalesce("cv", "v")
-    more = cut(doubt.where(~F.col("first")).join(a, "u", "left").join(b, "v", "left").where(apart).select("u", "v"))
-    if not more.isEmpty():
-        found = components(good.unionByName(checked(more, df, key, text, k, least)))
+    edges = cut(link(codes.where("id is not null").select("id", "fp", "sketch"), masks, radius, least - NEAR_DOUBT, least + NEAR_DOUBT).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("w").alias("w")))
+    doubt = edges.where(F.col("w") < least + NEAR_DOUBT).select("u", "v")
+    good = cut(edges.where(F.col("w") >= least + NEAR_DOUBT).select("u", "v").unionByName(checked(doubt, df, key, text, k, least)))
+    found = cut(components(good))
+    # an edge that was refused hides no other: what it would have joined is searched exactly
+    more = settled(codes.where("id is not null").select("id"), found, doubt, df, key, text, k, least)
+    if more is not None:
+        found = components(good.unionByName(more))
     # of repeated keys and texts one row stays, but keys are what is dropped: a
     # key that stands for its own group is never listed
     reps = codes.join(found, codes.id == found.node, "left").select("fp", "sketch", F.coalesce("component", "id").alias("component"), F.coalesce(F.col("component") != F.col("id"), F.lit(False)).alias("moved"), "n").where("n > 1 or moved")
@@ -484,6 +482,87 @@ def checked(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int, least:
     return both.where(same >= least * (F.size("a") + F.size("b") - same)).select("u", "v")
 
 
+#: Texts, and shingles of them, that one side of an exact search has, about.
+SETTLE_ROWS = 4096
+SETTLE_SHINGLES = 2_000_000
+
+
+def settled(codes: DataFrame, found: DataFrame, doubt: DataFrame, df: DataFrame, key: str, text: str, k: int, least: float) -> DataFrame | None:
+    """Edges (u, v) that join components of ``found`` further: all components that
+    refused edges of ``doubt`` lead between make a group, whose texts of different
+    components are compared exactly, through postings of their shingles.  A group
+    of n texts, in chunks that meet in pairs, gives n - 1 edges a task at most.
+    None if no edge was refused."""
+    label = found.select(F.col("node").alias("id"), "component")
+    ends = [label.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv"]
+    apart = doubt.join(ends[0], "u", "left").join(ends[1], "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v")
+    apart = cut(apart.distinct())
+    if apart.isEmpty():
+        return None
+    groups = components(apart).select(F.col("node").alias("label"), F.col("component").alias("grp"))
+    nodes = codes.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("label")).join(groups, "label")
+    src = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(cut(nodes), "id")
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = [np.unique(shingle_hashes(t, k)).view(np.int64) for t in b.column(3).to_pylist()]
+                cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(cuts, np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["id", "label", "grp", "s"])
+
+    sets = mapped(src.select("id", "label", "grp", "t"), run, "id long, label long, grp long, s array<long>")
+    sets = cut(sets.groupBy("id", "label", "grp").agg(F.min("s").alias("s")))
+    size = sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("m")).where("n > 2")
+    size = size.select("grp", F.greatest(F.ceil(F.col("n") / SETTLE_ROWS), F.ceil(F.col("m") / SETTLE_SHINGLES)).cast("int").alias("chunks"))
+    dealt = sets.join(size, "grp").withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # a chunk meets every other; with one chunk it is alone, with more the pairs hold it too
+    dealt = dealt.where((F.col("chunks") == 1) | (F.col("c") != F.col("o"))).select("id", "label", "s", "grp", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        s = t.column("s").combine_chunks() if isinstance(t.column("s"), pa.ChunkedArray) else t.column("s")
+        lens = np.diff(s.offsets.to_numpy())
+        edges = exact_links(t.column("id").to_numpy(), t.column("label").to_numpy(), s.flatten().to_numpy(), lens, least)
+        u, v = zip(*edges, strict=True) if edges else ((), ())
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return cut(dealt.groupBy("grp", "a", "b").applyInArrow(meet, "u long, v long"))
+
+
+def exact_links(ids: np.ndarray, labels: np.ndarray, flat: np.ndarray, lens: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges between texts of different labels (their sets of shingles one after
+    another in ``flat``) of a Jaccard similarity of ``least`` or more, as many as
+    join what such pairs join.  The texts of the most common label ask nothing:
+    one end of each pair is of another."""
+    _, own, n = np.unique(labels, return_inverse=True, return_counts=True)
+    root = np.arange(len(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    owner = np.repeat(np.arange(len(ids)), lens)
+    _, number = np.unique(flat, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    posting, starts = owner[order], np.searchsorted(number[order], np.arange(number.max(initial=-1) + 2))
+    ends, out = np.cumsum(lens), []
+    for q in np.flatnonzero(own != n.argmax()).tolist():
+        mine = number[ends[q] - lens[q] : ends[q]]
+        size = starts[mine + 1] - starts[mine]
+        rows = posting[np.repeat(starts[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        shared = np.bincount(rows, minlength=len(ids))
+        near = np.flatnonzero((shared >= least * (lens[q] + lens - shared)) & (own != own[q]))
+        for x in near.tolist():
+            a, b = find(own[q]), find(own[x])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[q]), int(ids[x])))
+    return out
+
+
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``df`` with one row of each group of copies and near copies, that of the
     smallest key; rows without a key stay.  Columns may have any names."""
