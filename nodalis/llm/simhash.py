@@ -483,7 +483,7 @@ def checked(pairs: DataFrame, df: DataFrame, key: str, text: str, k: int, least:
 
 
 #: Texts, and shingles of them, that one side of an exact search has, about.
-SETTLE_ROWS = 4096
+SETTLE_ROWS = 1024
 SETTLE_SHINGLES = 2_000_000
 
 

@@ -78,10 +78,10 @@ def test_redaction_and_digests(spark):
     assert {x.doc_id: x.s for x in d}[2] == hashlib.sha256(b"").hexdigest()
 
 
-def test_main_path_has_no_python(spark):
+def test_main_path_has_no_python(spark, tmp_path):
     df = spark.createDataFrame(contextual(), "doc_id long, text string")
-    df.write.mode("overwrite").parquet("/tmp/nodalis_pii_plan.parquet")
-    plan = pii.scan(spark.read.parquet("/tmp/nodalis_pii_plan.parquet"))._jdf.queryExecution().executedPlan().toString()
+    df.write.parquet(f"{tmp_path}/plan.parquet")
+    plan = pii.scan(spark.read.parquet(f"{tmp_path}/plan.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
